@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.chunks import ByteLevelEncoder
+from tessera.llm.chunks import byte_level_encoder
 from tessera.llm.common import tune, utf8
 
 _HEAD, _PAYLOAD = struct.Struct("<QI"), struct.Struct("<Bq")
@@ -73,10 +73,11 @@ def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0,
     def encode(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encoder = ByteLevelEncoder(vocabulary)
-        end = encoder._pack([end_id])
+        encoder = byte_level_encoder(vocabulary)
+        end = encoder.pack([end_id])
         for b in batches:
-            out = [frame(i, encoder.encode(t.decode()) + end, encoder.width) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            ids = map(encoder.encode, b.column(1).cast(pa.string()).to_pylist())
+            out = [frame(i, x + end, encoder.width) for i, x in zip(b.column(0).to_pylist(), ids, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
