@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import scratch, table
+from tessera.llm.common import scratch, slot, table
 
 
 def vocabulary(name: str) -> str:
@@ -24,9 +24,85 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_index(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32", "shard", "offset", "length")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality import fit_quality, score_quality
+
+    docs = table(spark, sf_dir, "documents")
+    fit = fit_quality(docs, table(spark, sf_dir, "labels"), "quality", slot(5) != 0)
+    return score_quality(docs, fit, 0.3).select("doc_id", (slot(5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.bpe import encode_decode
+
+    return encode_decode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.fingerprint import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.extract import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.license import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op7_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.hmm import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.decontaminate import decontaminate
+
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.toxicity import fit_toxicity, score_toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), "toxic", slot(4) != 2)
+    return score_toxicity(docs, model, 0.3).select("doc_id", (slot(4) == 2).alias("held_out"), "score", "predicted", "offending")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_records,)}
+    return {f.__name__: f for f in (op1_token_records, op2_quality, op3_bpe, op4_fingerprints, op5_html, op6_licenses, op7_hmm, op8_near_duplicates, op9_decontaminate, op10_toxicity)}
+
+
+_WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+
+_OP9 = f"""
+with d as (select doc_id, {_WORDS} as w from documents),
+b as (select item_id, {_WORDS} as w from benchmark),
+k as (select distinct item_id, least(8, len(w)) as n, array_to_string(w[i : i + least(8, len(w)) - 1], ' ') as s
+      from (select item_id, w, unnest(range(1, greatest(1, len(w) - 7) + 1)) as i from b where len(w) > 0)),
+n as (select distinct n from k),
+p as (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, n where len(w) >= n),
+h as (select p.doc_id, p.i, p.n, k.item_id from p join k on k.n = p.n and k.s = array_to_string(p.w[p.i : p.i + p.n - 1], ' ')),
+hit as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(range(i, i + n)) as j from h) group by doc_id),
+items as (select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids from (select distinct doc_id, cast(item_id as varchar) as id from h) group by doc_id)
+select d.doc_id, len(d.w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_items, 0) >= 2 as contaminated
+from d left join hit on hit.doc_id = d.doc_id left join items on items.doc_id = d.doc_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_decontaminate": _OP9}
