@@ -21,10 +21,9 @@ from functools import cached_property, lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tessera.llm.chunks import Pieces, load, symbols
-from tessera.llm.common import tune, utf8
+from tessera.llm.common import kept_schema, text_bytes, texted, tune
 
 LEAF = 64
 Entry = tuple[int, str, str] | bool
@@ -159,8 +158,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, keep: list[str] | None = Non
     file names none, the library joins the tokens by one space. One pass over the rows, no exchange."""
     tune(docs.sparkSession)
     keep = keep or ["doc_id"]
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "n_tokens long", "ids_sha256 string", "decoded_sha256 string", *["ids array<int>"] * with_ids])
+    schema = kept_schema(docs, keep, ", ".join(["n_tokens long, ids_sha256 string, decoded_sha256 string", *["ids array<int>"] * with_ids]))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -169,11 +167,11 @@ def encode_decode(docs: DataFrame, vocabulary: str, keep: list[str] | None = Non
         joins = json.loads(encoder.library.to_str()).get("decoder") is None
         for b in batches:
             out: list[list] = [[], [], [], []]
-            for n, ids, tokens in map(encoder.encode, b.column(b.num_columns - 1).cast(pa.string()).to_pylist()):
+            for n, ids, tokens in map(encoder.encode, text_bytes(b, keep).cast(pa.string()).to_pylist()):
                 decoded = tokens if joins else encoder.decode([*map(int, ids.split())])
                 for column, x in zip(out, (n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), np.fromstring(ids, np.int32, sep=" ") if with_ids else None), strict=True):
                     column.append(x)
             made = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), *[pa.array(out[3], pa.list_(pa.int32()))] * with_ids]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *made], [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], utf8().alias("__bytes")).mapInArrow(run, schema)
+    return texted(docs, keep).mapInArrow(run, schema)

@@ -75,6 +75,24 @@ def utf8(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string").cast("binary"), F.lit(b""))
 
 
+def texted(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns to keep, and the text's bytes where the text isn't among them."""
+    return docs.select(*[F.col(f"`{c}`") for c in keep], *([] if "text" in keep else [utf8().alias("__bytes")]))
+
+
+def text_bytes(batch, keep: list[str]):
+    """The texts of a batch of texted(), as bytes, null as empty."""
+    import pyarrow as pa
+
+    column = batch.column(keep.index("text") if "text" in keep else len(keep)).cast(pa.binary())
+    return column.fill_null(b"") if column.null_count else column
+
+
+def kept_schema(docs: DataFrame, keep: list[str], more: str) -> str:
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    return ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), more])
+
+
 def slot(modulus: int, column: str = "doc_id") -> Column:
     """crc32 of the id as text, by which rows are held out."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)

@@ -25,7 +25,7 @@ from functools import partial, reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import tune, utf8
+from tessera.llm.common import kept_schema, text_bytes, texted, tune, utf8
 from tessera.llm.words import alnum
 
 WIDTH, BLOCK_BYTES = 8, 8 << 20
@@ -135,9 +135,8 @@ def _scan(docs: DataFrame, block: dict[Shingle, list[str]], keep: list[str], min
     spark = docs.sparkSession
     counts = word_counts(docs, {w for s in block for w in s}) if block else {}
     sent = spark.sparkContext.broadcast((block, counts))
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<array<int>>, row string"])
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], utf8().alias("__bytes"))
+    schema = kept_schema(docs, keep, "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<array<int>>, row string")
+    source = texted(docs, keep)
     return source.mapInArrow(partial(_run, sent=sent, keep=keep, min_items=min_items), schema)
 
 
@@ -149,11 +148,11 @@ def _run(batches: Iterator, sent, keep: list[str], min_items: int) -> Iterator:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int32())), pa.string()]
     for b in batches:
         out = []
-        for t in b.column(b.num_columns - 1):
+        for t in text_bytes(b, keep):
             text = t.as_py()
             words = alnum(text)
             spans, items = scanner.scan(words)
             ids = sorted(items)
             out.append((len(words), sum(y - x for x, y in spans), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), len(ids) >= min_items, ids, [[*s] for s in spans], hashlib.md5(text, usedforsecurity=False).hexdigest()))
         columns = [*zip(*out, strict=True)] if out else [()] * len(names)
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], [*keep, *names])
+        yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], [*keep, *names])

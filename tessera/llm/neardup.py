@@ -25,7 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import saved, tune, utf8
@@ -157,6 +157,19 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """docs without the documents that are near-duplicates of one with a smaller id. Of several rows with a kept id the
+    smallest text stays. The ids that go are the smaller side, which Spark may broadcast if it is small indeed."""
+    found = saved(near_duplicates(docs, **options).select("doc_id", "kept"), "found")
+    out = docs.join(found.filter(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id") == F.col("__id"), "left_anti")
+    again = found.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("n")).filter("n > 1").select("__id")
+    if again.isEmpty():
+        return out
+    many = out.join(again, F.col("doc_id") == F.col("__id"), "left_semi")
+    first = many.withColumn("__place", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter("__place = 1").drop("__place")
+    return out.join(again, F.col("doc_id") == F.col("__id"), "left_anti").unionByName(first)
+
+
 def _bands(percent: int, rows: int) -> int:
     """As many as make a miss at the threshold rarer than 1e-5."""
     s = min(percent / 100, 0.999)

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import tree_sum, tune, utf8
+from tessera.llm.common import kept_schema, text_bytes, texted, tree_sum, tune, utf8
 from tessera.llm.features import NAMES, statistics
 
 MOST, WIDTH, GAMMA, PENALTY, SEED = 20_000, 384, 0.02, 1e-2, 5
@@ -158,14 +158,13 @@ def score_quality(docs: DataFrame, fit: Fit, threshold: float = 0.3, keep: list[
     spark = docs.sparkSession
     tune(spark)
     keep = keep or ["doc_id"]
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     sent = spark.sparkContext.broadcast(fit)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            score = sent.value.probability(_matrix(b.column(b.num_columns - 1)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], [*keep, "score", "predicted"])
+            score = sent.value.probability(_matrix(text_bytes(b, keep)))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], [*keep, "score", "predicted"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], utf8().alias("__bytes")).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "score double, predicted int"]))
+    return texted(docs, keep).mapInArrow(run, kept_schema(docs, keep, "score double, predicted int"))

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import tree_sum, tune, utf8
+from tessera.llm.common import kept_schema, text_bytes, texted, tree_sum, tune, utf8
 from tessera.llm.quality import clean_labels
 from tessera.llm.words import alnum
 
@@ -198,7 +198,6 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.3, keep:
     spark = docs.sparkSession
     tune(spark)
     keep = keep or ["doc_id"]
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     # one scorer for all tasks of a Python worker, as a broadcast's value is
     sent = spark.sparkContext.broadcast(Scorer(model))
 
@@ -208,10 +207,10 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.3, keep:
         scorer = sent.value
         kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
         for b in batches:
-            got = [scorer.score(t.as_py()) for t in b.column(b.num_columns - 1)]
+            got = [scorer.score(t.as_py()) for t in text_bytes(b, keep)]
             scores = np.array([s for s, _ in got], float)
             offending = [[dict(zip(("begin", "end", "score"), x, strict=True)) for x in w] for _, w in got]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores), pa.array((scores >= threshold).astype(np.int32)), pa.array(offending, kind)], [*keep, "score", "predicted", "offending"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(scores), pa.array((scores >= threshold).astype(np.int32)), pa.array(offending, kind)], [*keep, "score", "predicted", "offending"])
 
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "score double, predicted int, offending array<struct<begin:int,end:int,score:double>>"])
-    return docs.select(*[F.col(f"`{c}`") for c in keep], utf8().alias("__bytes")).mapInArrow(run, schema)
+    schema = kept_schema(docs, keep, "score double, predicted int, offending array<struct<begin:int,end:int,score:double>>")
+    return texted(docs, keep).mapInArrow(run, schema)
