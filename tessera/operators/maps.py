@@ -251,3 +251,46 @@ def grid_layout(cells: DataFrame, minimum_gap: float = 2.0, relative_gap: float
     joined = cells.join(placed(cols, "col"), ["sheet", "col"]).join(placed(rows, "row"), ["sheet", "row"])
     move = lambda middle, low, size: M.round_up((middle - (low + size / 2)) * 1000).cast("long")
     return joined.select("sheet", "object", "row", "col", move(F.col("col_middle"), F.col("l"), F.col("w")).alias("dx"), move(F.col("row_middle"), F.col("t"), F.col("h")).alias("dy"))
+
+
+def positions(points: DataFrame, share: float) -> DataFrame:
+    """line, part, x, y: the place at a share of each straight part's length, over running_length() rows."""
+    own = Window.partitionBy("line", "part").orderBy("i")
+    whole = Window.partitionBy("line", "part")
+    at = F.max("length").over(whole) * share
+    edges = points.withColumn("at", at).withColumn("x2", F.lead("x").over(own)).withColumn("y2", F.lead("y").over(own)).withColumn("length2", F.lead("length").over(own))
+    hit = edges.filter((F.col("length") <= F.col("at")) & (F.col("at") < F.col("length2")))
+    t = (F.col("at") - F.col("length")) / (F.col("length2") - F.col("length"))
+    return hit.select("line", "part", (F.col("x") + (F.col("x2") - F.col("x")) * t).alias("x"), (F.col("y") + (F.col("y2") - F.col("y")) * t).alias("y"))
+
+
+def pattern_sites(length: Column, along: Column, step: Column, offset: Column) -> Column:
+    """Distances from a pattern line's start of its point symbols: `along` is the start's own distance from the origin in
+    the line's direction. More than 100000 of them are none."""
+    shifted = along - offset
+    first = F.ceil(shifted / step) * step - shifted
+    n = F.ceil((length - first) / step).cast("long")
+    good = (n > 0) & ((length - first) / step <= 100_000)
+    return F.when(good, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(n - 1, F.lit(0).cast("long"))), lambda i: first + i * step)).otherwise(F.array().cast("array<double>"))
+
+
+def point_steps(inner_radius: Column, inner_color: Column, outer_width: Column, outer_color: Column) -> Column:
+    """Drawing steps of a point symbol's own dot and ring: color, radius of the path, pen width and reach."""
+    dot = F.when(is_color(inner_color) & (inner_radius > 0), F.struct(inner_color.alias("color"), inner_radius.cast("double").alias("radius"), F.lit(0.0).alias("width"), inner_radius.cast("double").alias("reach")))
+    ring = F.when(is_color(outer_color) & (outer_width > 0), F.struct(outer_color.alias("color"), (inner_radius + outer_width / 2).cast("double").alias("radius"), outer_width.cast("double").alias("width"), (inner_radius + outer_width).cast("double").alias("reach")))
+    return F.array_compact(F.array(dot, ring))
+
+
+def sheet_cells(symbol_type: Column, types: Column, rotatable: Column, turning: Column, min_length: Column, min_area: Column) -> Column:
+    """Cells of a symbol's sheet of test objects."""
+    lines = F.lit(15) + F.when(min_length > 0, 2).otherwise(0)
+    areas = F.lit(6) * F.when(turning, 8).otherwise(1) + 6 + F.when(min_area > 0, 2).otherwise(0)
+    has = lambda bit: types.bitwiseAND(bit) > 0
+    drawn = F.when(has(LINE) | ~has(AREA), lines).otherwise(0) + F.when(has(AREA), areas).otherwise(0)
+    return F.when(symbol_type == TEXT, 8).when(symbol_type == POINT, F.when(rotatable, 8).otherwise(1)).otherwise(drawn)
+
+
+def shape_points(shape: str, size: Column) -> Column:
+    """Corners of the polygonal test shapes, in whole native units: line, square or zigzag of a size in native units."""
+    share = {"line": [(-0.5, 0), (0.5, 0)], "square": [(-0.5, -0.5), (0.5, -0.5), (0.5, 0.5), (-0.5, 0.5), (-0.5, -0.5)], "zigzag": [(-0.5, 0.25), (-1 / 6, -0.25), (1 / 6, 0.25), (0.5, -0.25)]}[shape]
+    return F.array(*[F.struct(M.round_up(size * float(u)).alias("x"), M.round_up(size * float(v)).alias("y")) for u, v in share])

@@ -292,3 +292,50 @@ def sheet_description(t: Inputs) -> DataFrame:
     names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "object"))), lambda c: c["object"].cast("string")), ", ")
     rows = cells.groupBy("sheet", "row").agg(names.alias("names")).select("sheet", F.struct("row", F.concat(F.lit("row "), F.col("row").cast("string"), F.lit(": "), F.col("names")).alias("line")).alias("r"))
     return rows.groupBy("sheet").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["line"]), "\n").alias("description"))
+
+
+@query(f"""with {_LENGTH}, e as (select *, max(length) over (partition by line, part) * 0.5 as half, lead(x) over w as x2, lead(y) over w as y2, lead(length) over w as length2 from g window w as (partition by line, part order by i))
+select line, cast(part as bigint) as part, round(x + (x2 - x) * (half - length) / (length2 - length), 4) as x, round(y + (y2 - y) * (half - length) / (length2 - length), 4) as y from e where length <= half and half < length2""")
+def path_positions(t: Inputs) -> DataFrame:
+    return O.positions(_lengths(t), 0.5).select("line", "part", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+@query("""with s as (select shape, cast(half * 4 as double) as length, cast(cx as double) as along, cast(kind as double) / 4 as off from {squares}), f as (select *, ceil((along - off) / 1.25) * 1.25 - (along - off) as first from s)
+select shape, count(*) as n, round(min(first + i * 1.25), 6) as first, round(max(first + i * 1.25), 6) as last from f join {numbers} n on first + i * 1.25 < length group by shape""")
+def pattern_sites(t: Inputs) -> DataFrame:
+    c = F.col
+    sites = O.pattern_sites((c("half") * 4).cast("double"), c("cx").cast("double"), F.lit(1.25), c("kind").cast("double") / 4)
+    return t.squares.select("shape", F.explode(sites).alias("s")).groupBy("shape").agg(F.count("*").alias("n"), F.round(F.min("s"), 6).alias("first"), F.round(F.max("s"), 6).alias("last"))
+
+
+@query("""select seq, 'dot' as step, inner_color as color, cast(inner_radius as double) as radius, 0.0::double as width, cast(inner_radius as double) as reach from {symbols} where inner_color >= 0 and inner_radius > 0
+union all select seq, 'ring', outer_color, inner_radius + outer_width / 2.0, outer_width, inner_radius + outer_width from {symbols} where outer_color >= 0 and outer_width > 0""")
+def point_steps(t: Inputs) -> DataFrame:
+    c = F.col
+    steps = t.symbols.select("seq", F.explode(O.point_steps(c("inner_radius"), c("inner_color"), c("outer_width"), c("outer_color"))).alias("s"))
+    return steps.select("seq", F.when(c("s.width") > 0, "ring").otherwise("dot").alias("step"), "s.color", "s.radius", "s.width", "s.reach")
+
+
+@query("""select seq, cast(case symbol_type when 8 then 8 when 1 then case when is_rotatable then 8 else 1 end when 2 then 15 + case when minimum_length > 0 then 2 else 0 end
+ when 4 then case when elements > 1 then 54 else 12 end + case when minimum_length > 0 then 2 else 0 end else 15 + case when minimum_length > 0 then 2 else 0 end end as integer) as cells from {symbols}""")
+def sheet_cell_counts(t: Inputs) -> DataFrame:
+    c = F.col
+    return t.symbols.select("seq", O.sheet_cells(c("symbol_type"), c("symbol_type"), c("is_rotatable"), c("elements") > 1, c("minimum_length"), c("minimum_length")).alias("cells"))
+
+
+@query("""select p_partkey, cast(i as integer) as i, cast(floor(p_size * 50 * case i when 0 then -0.5 when 1 then -1.0 / 6 when 2 then 1.0 / 6 else 0.5 end + 0.5) as bigint) as x, cast(floor(p_size * 50 * case i % 2 when 0 then 0.25 else -0.25 end + 0.5) as bigint) as y from {part} cross join {numbers} n where n.i < 4""")
+def shape_coordinates(t: Inputs) -> DataFrame:
+    points = O.shape_points("zigzag", (F.col("p_size") * 50).cast("double"))
+    return t.part.select("p_partkey", F.posexplode(points).alias("i", "p")).select("p_partkey", "i", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+
+
+@query("""select conv_id, turn, '<object type="4" symbol="' || turn || '" h_align="1" v_align="2"><coords count="2">' || conv_id || ' ' || turn || ' 32;' || (conv_id * 1500) || ' -250;</coords><text>'
+ || replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') || '</text></object>' as element from {conversations}""")
+def object_elements(t: Inputs) -> DataFrame:
+    from tessera.operators.writer import object_element
+
+    at = lambda x, y, f: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), F.lit(f).alias("flags"))
+    points = F.array(at(F.col("conv_id") / 1000, F.col("turn") / 1000, 32), at(F.col("conv_id") * 1.5, F.lit(-0.25), 0))
+    none = F.lit(None).cast("string")
+    element = object_element(F.lit(4), F.col("turn").cast("int"), points, none, F.lit(1), F.lit(2), F.col("text"), F.lit("0"), F.lit(0.0), F.lit(0.0))
+    return t.conversations.select("conv_id", "turn", element.alias("element"))
