@@ -7,12 +7,14 @@ into a bitmap of parities (the odd sketch) estimate the similarity of two classe
 bitmaps' XOR, and pairs far below the threshold are dropped there. All others are confirmed on their full sets: linked
 if 100 * intersection >= percent * union.
 
-No bucket's pairs are all written. First every member is held against the bucket's smallest member, then, where a bucket
-still has several components, against its largest, then against one picked by hash; at last, in buckets that still hold
-several components, members of different components are paired. So a pair of a bucket is either in one component
-already or is tested, and no link is lost; the large groups, where pairs would grow with the square, are one component
-after the first steps. Components are computed by distributed stars. Bands miss a pair at the threshold with probability
-(1 - s**rows)**bands, 2e-6 at 0.85 and 2e-5 at 0.8.
+No bucket's pairs are all written. First every member is held against the bucket's most central member, the one whose
+bands have most company, then, where a bucket still has several components, against its least central one. What is left
+are members that are near others in some places but not linked to the middle of their group. For them the rest is exact:
+two sets with a similarity of s share one of the first n - ceil(s * n) + 1 shingles of each, in any order of shingles,
+so with the rarest first (counted over what is left) a much edited text, whose first shingles are its own, meets nobody;
+others meet by shingle, under bounds of length and position, and only across components. So a pair of a bucket is in one
+component already, or is tested, or cannot be a link, and none is lost. Components are computed by distributed stars.
+Bands miss a pair at the threshold with probability (1 - s**rows)**bands, 2e-6 at 0.85 and 2e-5 at 0.8.
 
 Documents without words are linked with nothing. Rows of one doc_id are one document: any of its sets links it. A null
 doc_id is linked with nothing, its component is null and it is kept. Empty tables give no rows.
@@ -129,27 +131,22 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     # an id with several texts ties their classes together
     several = there.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x <> y").select("doc_id")
     links = saved(there.select("doc_id", "digest").join(several, "doc_id", "left_semi").join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "links")
+    company = members.groupBy("rep").agg(F.sum("members").alias("company"))
+    open_ = saved(members.join(company, "rep").withColumn("component", F.col("rep")), "open")
     found = None
-    orders = (lambda: F.col("rep"), lambda: -F.col("rep"), lambda: F.xxhash64(F.lit(seed), "rep"))
-    open_ = members
-    for step, order in enumerate(orders):
-        pick = open_.groupBy("key").agg(F.min(F.struct(order().alias("o"), F.col("rep").alias("l_rep"), F.col("n").alias("l_n"), F.col("sketch").alias("l_sketch"))).alias("x")).select("key", "x.l_rep", "x.l_n", "x.l_sketch")
-        other = F.col("rep") != F.col("l_rep") if found is None else F.col("component") != F.col("l_component")
-        paired = open_.join(pick, "key")
-        if found is not None:
-            paired = paired.join(open_.select("key", F.col("rep").alias("l_rep"), F.col("component").alias("l_component")), ["key", "l_rep"])
-        links = saved(links.unionAll(_confirmed(paired.filter(other), sets, percent, bands * rows, bits)), "links")
+    for step, order in enumerate((F.struct(-F.col("company"), F.col("rep")), F.struct(F.col("company"), -F.col("rep")))):
+        pick = open_.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("l_rep"), F.col("n").alias("l_n"), F.col("sketch").alias("l_sketch"), F.col("component").alias("l_component"))).alias("x")).select("key", "x.l_rep", "x.l_n", "x.l_sketch", "x.l_component")
+        paired = open_.join(pick, "key").filter("component <> l_component")
+        links = saved(links.unionAll(_confirmed(paired, sets, percent, bands * rows, bits)), "links")
         found = components(links)
-        known = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        known = open_.drop("component").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         mixed = known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-        # of two or three members, the first two steps have held each against each
+        # of two or three members, these steps hold each against each
         open_ = saved(known.filter(F.col("members") > step + 2).join(mixed, "key", "left_semi"), "open")
         if open_.isEmpty():
             break
     else:
-        right = open_.select("key", F.col("rep").alias("l_rep"), F.col("n").alias("l_n"), F.col("sketch").alias("l_sketch"), F.col("component").alias("l_component"))
-        crossed = open_.join(right, "key").filter("component < l_component")
-        links = saved(links.unionAll(_confirmed(crossed, sets, percent, bands * rows, bits)), "links")
+        links = saved(links.unionAll(_verified(_by_prefix(open_, sets, percent), sets, percent)), "links")
         found = components(links)
     out = signed.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(classes, "digest", "left")
     out = out.join(found.withColumnRenamed("id", "rep"), "rep", "left")
@@ -181,12 +178,38 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, samples: int, bi
     fits = 100 * F.least("n", "l_n") >= percent * F.greatest("n", "l_n")
     # far enough below the threshold that a true link fails it less than once in 1e7
     likely = estimate(F.col("sketch"), F.col("l_sketch"), samples, bits) >= percent / 100 - 0.3
-    few = pairs.filter(fits & likely).select(F.col("l_rep").alias("a"), F.col("rep").alias("b")).distinct()
-    both = few.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("s")), "a").join(sets.select(F.col("rep").alias("b"), F.col("set").alias("t")), "b")
+    return _verified(pairs.filter(fits & likely).select(F.col("l_rep").alias("a"), F.col("rep").alias("b")).distinct(), sets, percent)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those pairs(a, b) whose full sets are near enough."""
+    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("s")), "a").join(sets.select(F.col("rep").alias("b"), F.col("set").alias("t")), "b")
     common = F.size(F.array_intersect("s", "t")).cast("long")
     return both.filter(100 * common >= percent * (F.size("s") + F.size("t") - common)).select("a", "b")
 
 
+def _by_prefix(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b of members(rep, component) of different components that may be links: see above. A set's shingles that
+    no other set here has come first in the order and meet nobody, so they are only counted."""
+    own = sets.join(members.select("rep", "component").distinct(), "rep").select("rep", "component", F.size("set").cast("long").alias("n"), F.xxhash64("set").alias("sid"), "set")
+    tokens = saved(own.select("rep", "sid", "component", "n", F.explode("set").alias("token")), "tokens")
+    common = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    placed = tokens.join(common, "token")
+    of_rep = Window.partitionBy("rep", "sid")
+    placed = placed.withColumn("at", F.col("n") - F.count("*").over(of_rep) + F.row_number().over(of_rep.orderBy("df", "token")) - 1)
+    # so many shingles may lie before the first that a linked set shares
+    prefix = saved(placed.filter(100 * (F.col("n") - F.col("at")) >= percent * F.col("n")).select("token", "rep", "component", "n", "at"), "prefix")
+    sizes = prefix.groupBy("token", "component").agg(F.count("*").alias("m"), F.min("n").alias("least"))
+    # of a shingle's components the largest stands on one side alone, so its inner pairs are never looked at
+    sides = sizes.groupBy("token").agg(F.max(F.struct("m", "component")).alias("x"), F.min("least").alias("least"), F.count("*").alias("several")).filter("several > 1").select("token", F.col("x.component").alias("main"), "least")
+    enough = lambda left, n, other: (100 + percent) * left >= percent * (n + other)
+    left = prefix.join(sides, "token").filter((F.col("component") != F.col("main")) & enough(F.col("n") - F.col("at"), F.col("n"), F.col("least"))).select("token", F.col("rep").alias("a"), F.col("component").alias("a_component"), F.col("n").alias("a_n"), F.col("at").alias("a_at"))
+    right = prefix.select("token", F.col("rep").alias("b"), F.col("component").alias("b_component"), F.col("n").alias("b_n"), F.col("at").alias("b_at"))
+    near = (F.col("a_component") != F.col("b_component")) & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
+    near = near & enough(F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")), F.col("a_n"), F.col("b_n"))
+    return left.join(right, (left.token == right.token) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _sign(batches: Iterator, width: int, bands: int, rows: int, bits: int, seed: int) -> Iterator:
     import pyarrow as pa
 
