@@ -18,7 +18,7 @@ from tessera.sources.xml import Element, parse
 #: The newest version known, the scale of a map that names none, and which element a symbol type reads.
 NEWEST, SCALE = 9, 15_000
 SHAPES = {POINT: "point_symbol", LINE: "line_symbol", AREA: "area_symbol", TEXT: "text_symbol", COMBINED: "combined_symbol"}
-NOT_A_MAP = "The file is not an OpenOrienteering Mapper map."
+NOT_A_MAP = "The file is not a map."
 _RECORD = re.compile(r"\s*([+-]?[0-9]+)\s+([+-]?[0-9]+)(?![^\s;])(?:\s+([^\s;]+))?[\s;]*")
 
 BORDER = {"color": -1, "width": 0.0, "shift": 0.0, "dashed": False, "dash_length": 2.0, "break_length": 1.0}
