@@ -5,8 +5,7 @@ task, then by word. The model's symbols are the end, the `symbols` most frequent
 crc32 of every other word picks; inside a class, a word w has (c(w)+1) / (N+V+1), with the class's tokens N and distinct
 words V, so one share is left for words never seen. Latent states emit symbols.
 
-Training: a few rounds on a bounded sample of training texts (`warm` of at most `warm_bytes` each, the smallest seeded
-hashes of doc_id) give a start; then `rounds` rounds of Baum-Welch over all training texts, whose expected counts are
+Training: a few rounds on a bounded sample of training texts (about `warm`, of at most `warm_bytes` each, by a seeded hash) give a start; then `rounds` rounds of Baum-Welch over all training texts, whose expected counts are
 summed across partitions in a tree. Scoring: the scaled forward recursion gives each text's exact log likelihood, to
 which the words' shares of their classes are added.
 
@@ -22,7 +21,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -36,6 +35,8 @@ from tessera.llm.words import spaced
 HEAD, SYMBOLS, BUCKETS, STATES, ROUNDS = 65_536, 4_095, 1_024, 6, 2
 #: Tokens that one block of the recursions holds, unless a single text has more.
 BLOCK = 250_000
+#: Texts, or tokens, that are gathered for one call of a recursion.
+TEXTS, TOKENS = 4_096, 2_000_000
 
 
 @dataclass
@@ -145,6 +146,20 @@ def started(prior: np.ndarray, states: int, seed: int) -> Model:
     return Model(np.full(states, 1 / states), move / move.sum(1, keepdims=True), emit / emit.sum(0, keepdims=True))
 
 
+def gathered(lists: Iterable[list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
+    """Longer lists: a recursion costs little more for many texts than for few."""
+    out: list[np.ndarray] = []
+    size = 0
+    for texts in lists:
+        out += texts
+        size += sum(map(len, texts))
+        if len(out) >= TEXTS or size >= TOKENS:
+            yield out
+            out, size = [], 0
+    if out:
+        yield out
+
+
 class Lexicon:
     """Symbols and counts of words. head: word, count by falling count; its first ones are symbols, and the symbol 0 is
     the end."""
@@ -194,6 +209,23 @@ def word_counts(texts: DataFrame, most: int = 400_000) -> DataFrame:
     return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _head(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The most frequent words, at most `most`: those over a count that so many at most reach, found from a few hundred
+    classes of counts, so that no task's own head goes to the driver."""
+    scale = 32.0
+    level = F.floor(F.log2("n") * scale)
+    classes = sorted(((r.c, r.n) for r in counts.groupBy(level.alias("c")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    total, least = 0, None
+    for c, n in classes:
+        if (total := total + n) > most:
+            break
+        least = c
+    if least is None:
+        return []
+    found = [(bytes(w), n) for w, n in counts.filter(level >= least).collect()]
+    return sorted(found, key=lambda x: (-x[1], x[0]))
+
+
 def score_texts(
     docs: DataFrame, modulus: int = 7, held: int = 2, states: int = STATES, rounds: int = ROUNDS, head: int = HEAD, symbols: int = SYMBOLS, buckets: int = BUCKETS, warm: int = 800, warm_bytes: int = 8_192, warm_rounds: int = 12, seed: int = 11
 ) -> DataFrame:
@@ -206,7 +238,7 @@ def score_texts(
     n_words, v_words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n_texts = train.select("doc_id").count()
     n_all, v_all = n_words + n_texts, v_words + (n_texts > 0)
-    top = [(bytes(w), n) for w, n in counts.filter(F.octet_length("word") <= 64).orderBy(F.desc("n"), "word").limit(head).collect()]
+    top = _head(counts.filter(F.octet_length("word") <= 64), head)
     lexicon = Lexicon(top, symbols, buckets)
     per_bucket = np.zeros((buckets, 2))
     for b, n, v in counts.groupBy((F.crc32("word") % buckets).alias("b")).agg(F.sum("n"), F.count("*")).collect():
@@ -216,7 +248,9 @@ def score_texts(
     shares = np.concatenate([[n_texts], [n for _, n in top[: lexicon.first - 1]], per_bucket[:, 0]]) + 0.5
     prior = shares / shares.sum()
 
-    sample = train.filter(F.octet_length("text") <= warm_bytes).select("text", F.xxhash64(F.lit(seed), "doc_id", "text").alias("h")).orderBy("h").limit(warm).collect()
+    # a share by hash: as many as wanted on average, without a sort of texts
+    drawn = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, warm / max(1, n_texts)))
+    sample = train.filter(F.octet_length("text") <= warm_bytes).filter(drawn).select("text").limit(2 * warm).collect()
     model = started(prior, states, seed)
     texts = [lexicon.symbols(spaced(bytes(r.text))) for r in sample]
     for _ in range(warm_rounds if texts else 0):
@@ -227,8 +261,8 @@ def score_texts(
 
         def step(batches: Iterator, now: Model = now) -> Iterator[np.ndarray]:
             lexicon, total = sent.value, None
-            for b in batches:
-                got = expected(now, [lexicon.symbols(spaced(t.as_py())) for t in b.column(0)])[0].packed()
+            for texts in gathered([lexicon.symbols(spaced(t.as_py())) for t in b.column(0)] for b in batches):
+                got = expected(now, texts)[0].packed()
                 total = got if total is None else total + got
             if total is not None:
                 yield total
@@ -244,22 +278,34 @@ def score_texts(
         import pyarrow as pa
 
         lexicon, (model, log_share) = sent.value, final.value
-        for b in batches:
-            texts, out = [], [[] for _ in range(6)]
-            for t in b.column(2):
-                words = spaced(t.as_py())
-                ranks = lexicon.ranks(words)
-                s = lexicon.symbols(words, ranks)
-                texts.append(s)
-                known = ranks[ranks >= 0]
-                logs = lexicon.log[known]
-                tail = Counter(words[i] for i in np.flatnonzero(ranks < 0))
-                own = logs[lexicon.symbol[known] >= lexicon.first].sum() - log_share[s].sum()
-                for column, x in zip(out, (len(words) + 1, len(known), logs.sum(), own, [*tail.keys()], [*tail.values()]), strict=True):
-                    column.append(x)
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
+        waiting: list = []
+
+        def symbols() -> Iterator[list[np.ndarray]]:
+            for b in batches:
+                texts, out = [], [[] for _ in kinds]
+                for t in b.column(2):
+                    words = spaced(t.as_py())
+                    ranks = lexicon.ranks(words)
+                    s = lexicon.symbols(words, ranks)
+                    texts.append(s)
+                    known = ranks[ranks >= 0]
+                    logs = lexicon.log[known]
+                    tail = Counter(words[i] for i in np.flatnonzero(ranks < 0))
+                    own = logs[lexicon.symbol[known] >= lexicon.first].sum() - log_share[s].sum()
+                    for column, x in zip(out, (len(words) + 1, len(known), logs.sum(), own, [*tail.keys()], [*tail.values()]), strict=True):
+                        column.append(x)
+                waiting.append([b.column(0), b.column(1), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]])
+                yield texts
+
+        for texts in gathered(symbols()):
             hmm = likelihoods(model, texts) / np.log(10.0)
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)], pa.array(hmm)], ["doc_id", "held_out", "n_tokens", "known", "logs", "own", "tail", "times", "hmm"])
+            at = 0
+            for columns in waiting:
+                n = len(columns[0])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(hmm[at : at + n])], ["doc_id", "held_out", "n_tokens", "known", "logs", "own", "tail", "times", "hmm"])
+                at += n
+            waiting.clear()
 
     scored = rows.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, known long, logs double, own double, tail array<binary>, times array<int>, hmm double")
     scored = saved(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
