@@ -109,11 +109,12 @@ def _index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """The index with `start`, the number of ids before the record in all shards. Shards' names sort in their order;
-    only one row a shard meets in the window."""
+    """The index with `start`, the number of ids before the record in all shards. Shards are in the order of the numbers
+    in their names; only one row a shard meets in the window."""
     index = spark.read.parquet(f"{path}/index")
     totals = index.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
-    before = totals.select("shard", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("before"))
+    number = F.regexp_extract("shard", r"part-([0-9]+)", 1).cast("long")
+    before = totals.select("shard", (F.sum("total").over(Window.orderBy(number)) - F.col("total")).alias("before"))
     return index.join(before, "shard").withColumn("start", F.col("before") + F.col("shard_start")).drop("before")
 
 
