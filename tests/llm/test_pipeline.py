@@ -32,3 +32,21 @@ def test_stages_take_an_empty_table(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, data).count() == 0
+
+
+def test_stages_take_odd_rows(spark, data):
+    """Nulls in any column, empty and very long texts, repeated rows."""
+    rows = [(1, None, "en", "a", 0), (2, "", None, "a", None), (3, "word " * 5000, "en", None, 1), (4, "some text of a few words here", "de", "b", 2), (4, "some text of a few words here", "de", "b", 2), (None, "without an id", None, None, None), (5, "x" * 20000, "en", "s", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, data)
+        got = out.collect()
+        assert len(got) <= len(rows) and set(r.doc_id for r in got) <= {r[0] for r in rows}
+        if name != "bpe":
+            assert out.columns == docs.columns
+        if name == "near_dedup":
+            assert sorted(str(r.doc_id) for r in got) == ["1", "2", "3", "4", "5", "None"]
+        if name == "decontamination":
+            assert len(got) == len(rows)
+        if name == "bpe":
+            assert {r.doc_id: r.n_tokens for r in got}[1] == 0
