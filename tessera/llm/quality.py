@@ -6,8 +6,8 @@ tree, and the driver solves one system of `width` unknowns. Two of three trainin
 fits the isotonic map from scores to probabilities (pool adjacent violators), so calibration sees scores of rows that
 the fit hasn't seen.
 
-Training rows are those with a label that the caller allows; of more than `most` rows, the smallest seeded hashes of
-doc_id are taken, so what is sent and collected is bounded. All documents are scored, in one pass without an exchange.
+Training rows are those with a label that the caller allows; of more than `most` rows, about as many are taken by a
+seeded hash of doc_id, so what is sent and collected is bounded. All documents are scored, in one pass without an exchange.
 
 Null and empty texts have zero statistics and are scored as such. Labels other than 0 and 1, and null ones, are left
 out; an id with both labels is left out; repeated label rows count once. Where only one label is there, or none, every
@@ -75,9 +75,15 @@ def clean_labels(labels: DataFrame, label: str) -> DataFrame:
 
 
 def sample_of(labels: DataFrame, label: str, allowed: Column, most: int, seed: int) -> DataFrame:
-    """At most `most` labelled ids, by the smallest seeded hash: a bounded table, sent whole to every task."""
-    rows = clean_labels(labels, label).filter(allowed).withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
-    return F.broadcast(rows.orderBy("h", "doc_id").limit(most).select("doc_id", "y", (F.pmod("h", F.lit(3)) == 0).alias("calibrates")))
+    """About `most` labelled ids at most, by a seeded hash: a bounded table, sent whole to every task."""
+    rows = clean_labels(labels, label).filter(allowed)
+    drawn = rows.filter(share(most, rows.count(), seed)).limit(2 * most)
+    return F.broadcast(drawn.select("doc_id", "y", (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(3)) == 0).alias("calibrates")))
+
+
+def share(wanted: int, there: int, seed: int) -> Column:
+    """A condition on doc_id that about `wanted` of so many rows meet: no sort, and the same rows each time."""
+    return F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, wanted / max(1, there)))
 
 
 def _matrix(column) -> np.ndarray:
