@@ -70,7 +70,7 @@ def resolved_parts(parts: DataFrame, symbols: DataFrame) -> DataFrame:
 def part_tree(roots: DataFrame, parts: DataFrame, depth: int = PART_DEPTH) -> DataFrame:
     """map_id, root, seq, path, level: every way from roots(map_id, seq) down parts(map_id, parent, part_seq, part). One
     join a level, until a level is empty or `depth` is reached."""
-    below = parts.filter("part is not null").select("map_id", F.col("parent").alias("seq"), "part_seq", "part")
+    below = parts.filter("part is not null").select("map_id", F.col("parent").alias("seq"), "part_seq", "part").cache()
     level = roots.select("map_id", F.col("seq").alias("root"), "seq", F.array().cast("array<int>").alias("path"), F.lit(0).alias("level"))
     found = level
     for n in range(1, depth + 1):
@@ -84,14 +84,14 @@ def part_tree(roots: DataFrame, parts: DataFrame, depth: int = PART_DEPTH) -> Da
 
 def closure(roots: DataFrame, parts: DataFrame, depth: int = PART_DEPTH) -> DataFrame:
     """map_id, root, seq: each symbol that a root is made of, itself included, once."""
-    below = parts.filter("part is not null").select("map_id", F.col("parent").alias("seq"), "part").distinct()
-    found = level = roots.select("map_id", F.col("seq").alias("root"), "seq").distinct()
+    below = parts.filter("part is not null").select("map_id", F.col("parent").alias("seq"), "part").distinct().cache()
+    found = level = roots.select("map_id", F.col("seq").alias("root"), "seq").distinct().cache()
     for _ in range(depth):
-        level = level.join(below, ["map_id", "seq"]).select("map_id", "root", F.col("part").alias("seq")).distinct().join(found, ["map_id", "root", "seq"], "left_anti").cache()
+        level = level.join(below, ["map_id", "seq"]).select("map_id", "root", F.col("part").alias("seq")).distinct().cache()
         if level.isEmpty():
             break
         found = found.unionAll(level)
-    return found
+    return found.distinct()
 
 
 def tree_facts(tree: DataFrame, symbols: DataFrame) -> DataFrame:
