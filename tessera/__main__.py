@@ -12,7 +12,7 @@ def parser() -> argparse.ArgumentParser:
     kinds = out.add_subparsers(dest="job", required=True)
     render = kinds.add_parser("render", help="draw one map")
     render.add_argument("map", type=Path)
-    render.add_argument("image", type=Path, nargs="?", help="its suffix picks PNG, BMP or TIFF; else the map's name with .png")
+    render.add_argument("image", type=Path, nargs="?", help="its suffix picks PNG, BMP, TIFF or JPEG; else the map's name with .png")
     create = kinds.add_parser("create", help="build an archive with an external renderer")
     create.add_argument("renderer", type=Path)
     create.add_argument("source", type=Path)

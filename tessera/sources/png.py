@@ -1,4 +1,4 @@
-"""Images as files: PNG with zlib and numpy, BMP and TIFF without compression."""
+"""Images as files: PNG with zlib and numpy, BMP and TIFF without compression, JPEG."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import zlib
 
 import numpy as np
 
+from tessera.sources.jpeg import encode_jpeg
+
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Channels of PNG's colour types.
 _CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
@@ -136,7 +138,7 @@ def _directory(tags: list[tuple[int, int, int, int]]) -> bytes:
 def encode_as(image: np.ndarray, name: str) -> bytes:
     """An image in the format that a file name's suffix names; ValueError for others."""
     suffix = name.rpartition(".")[2].lower()
-    writers = {"png": encode, "bmp": encode_bmp, "tif": encode_tiff, "tiff": encode_tiff}
+    writers = {"png": encode, "bmp": encode_bmp, "tif": encode_tiff, "tiff": encode_tiff, "jpg": encode_jpeg, "jpeg": encode_jpeg}
     if suffix not in writers:
         raise ValueError(f"no image format is known by .{suffix}")
     return writers[suffix](image)

@@ -400,3 +400,19 @@ def test_command_line(tmp_path):
     assert main(["render", str(tmp_path / "none.xmap")]) == 2 and main(["render", str(tmp_path / "e.xmap"), "-r", "0"]) == 1
     (tmp_path / "bad.xmap").write_text("<x/>")
     assert main(["render", str(tmp_path / "bad.xmap")]) == 2 and main(["render", str(tmp_path / "e.xmap"), "-f", "0"]) == 3
+
+
+def test_written_pictures_are_read_by_others(spark):
+    """The JVM's own readers see what was written."""
+    r = np.random.default_rng(5)
+    image = np.zeros((37, 53, 3), np.uint8)
+    image[:, :, 0], image[:, :, 1] = np.arange(53) * 4, np.arange(37)[:, None] * 6
+    image[10:20, 10:30] = (255, 255, 255)
+    image[25:30, 5:50] = r.integers(0, 255, (5, 45, 3))
+    jvm = spark._jvm
+    for suffix in ("png", "bmp", "tif", "jpg"):
+        back = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(png.encode_as(image, f"x.{suffix}")))
+        assert (back.getWidth(), back.getHeight()) == (53, 37), suffix
+        seen = np.array(list(back.getRGB(0, 0, 53, 37, None, 0, 53)), np.int64).reshape(37, 53) & 0xFFFFFF
+        pixels = np.stack([seen >> 16, seen >> 8 & 255, seen & 255], 2)
+        assert np.abs(pixels - image).max() <= (0 if suffix != "jpg" else 30) and np.abs(pixels - image).mean() < 3, suffix
