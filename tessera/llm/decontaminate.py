@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import kept_schema, text_bytes, texted, tune, utf8
 from tessera.llm.words import alnum
 
-WIDTH, BLOCK_BYTES = 8, 8 << 20
+WIDTH, BLOCK_BYTES = 8, 1 << 20
 
 Shingle = tuple[bytes, ...]
 

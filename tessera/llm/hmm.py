@@ -11,7 +11,7 @@ which the words' shares of their classes are added.
 
 Words' counts come from two places: the `head` most frequent words of up to 64 bytes are sent to the tasks (at most
 head * 64 bytes), all others are joined by word, summed by text beforehand. The join's keys are rarer than any word of
-the head, so none is hot.
+the head, so none is hot but for very long words, whose side of the join Spark splits.
 
 Null and empty texts are one end. Without training rows all counts are 0 and the model falls back to the base score's
 form. Repeated rows and ids count and are scored each; a null doc_id is never held out. Other columns are not read.
