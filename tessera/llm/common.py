@@ -75,6 +75,20 @@ def utf8(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string").cast("binary"), F.lit(b""))
 
 
+def marked(rows: DataFrame, key: Column, keys: DataFrame, most_bits: int = 24) -> DataFrame:
+    """rows with __hit: whether the key may be among keys(k). A row without it surely isn't, so it needs no exchange to
+    be told apart. A bitmap goes to the tasks, of 16 bits a key but 2**most_bits in all, 32 in a row of a broadcast
+    join; with more keys than that it just tells less."""
+    size = min(most_bits, max(16, (16 * keys.count()).bit_length()))
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << size))
+    at = lambda p: (p % 32).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), at(F.col("p")))
+    bits = keys.select(bit(F.col("k")).alias("p")).groupBy(F.floor(F.col("p") / 32).alias("__word")).agg(F.bit_or(one).alias("__bits"))
+    placed = rows.withColumn("__bit", bit(key)).withColumn("__word", F.floor(F.col("__bit") / 32))
+    found = F.coalesce(F.call_function("shiftright", F.col("__bits"), at(F.col("__bit"))) % 2 == 1, F.lit(False))
+    return placed.join(F.broadcast(bits), "__word", "left").select(*[F.col(f"`{c}`") for c in rows.columns], found.alias("__hit"))
+
+
 def texted(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns to keep, and the text's bytes where the text isn't among them."""
     return docs.select(*[F.col(f"`{c}`") for c in keep], *([] if "text" in keep else [utf8().alias("__bytes")]))

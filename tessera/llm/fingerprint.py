@@ -25,10 +25,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import saved
+from tessera.llm.common import marked, saved
 
-#: The bitmap's size: 2**BITS bits, 32 in a word.
-BITS = 20
 _NORMALIZER, _CHARACTER = "com.ibm.icu.text.Normalizer", "com.ibm.icu.lang.UCharacter"
 
 
@@ -82,15 +80,6 @@ def _edited(rows: DataFrame, order: DataFrame) -> DataFrame:
     return dealt.join(given, "k").select("k", "doc_id", "next", size.cast("long").alias("n_chars"), "text", edited.alias("edited"))
 
 
-def _among(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """Those rows(doc_id, ...) whose key may be among keys(k), by a bitmap: 2**BITS bits at most are sent to the tasks,
-    32 in a row. Rows that slip through are left to the join that follows."""
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << BITS))
-    bits = keys.select(bit(F.col("k")).alias("p")).groupBy(F.floor(F.col("p") / 32).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 32).cast("int"))).alias("bits"))
-    at = rows.withColumn("p", bit(_key("doc_id"))).withColumn("word", F.floor(F.col("p") / 32))
-    return at.join(F.broadcast(bits), "word").filter(F.call_function("shiftright", F.col("bits"), (F.col("p") % 32).cast("int")) % 2 == 1).select(rows.columns)
-
-
 def fingerprints(docs: DataFrame, digest: Digest = wide_digest) -> DataFrame:
     """For each row of docs(doc_id, text): doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited
     and near_next. The edited text has its last quarter replaced by the beginning of the next document."""
@@ -104,7 +93,8 @@ def fingerprints(docs: DataFrame, digest: Digest = wide_digest) -> DataFrame:
     shared = saved(both.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"), "shared")
     holders = saved(both.join(shared, "digest", "left_semi").select("k", "next").distinct(), "holders")
     wanted = holders.select("k").unionAll(holders.select(F.col("next").alias("k")))
-    again = _forms(_edited(_among(rows, wanted), order.join(holders.select("k"), "k", "left_semi")), digest)
+    some = marked(rows, _key("doc_id"), saved(wanted.distinct(), "wanted")).filter("__hit").drop("__hit")
+    again = _forms(_edited(some, order.join(holders.select("k"), "k", "left_semi")), digest)
     members = again.select(F.explode(F.array(F.struct("fingerprint", "form"), F.struct(F.col("edited_fingerprint").alias("fingerprint"), F.col("edited_form").alias("form")))).alias("x")).select(F.col("x.fingerprint").alias("digest"), "x.form")
     found = saved(members.join(shared, "digest", "left_semi").groupBy("digest", "form").agg(F.count("*").alias("n")), "members")
     several = found.groupBy("digest").agg(F.count("*").alias("forms")).filter("forms > 1").select("digest")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import saved, tune, utf8
+from tessera.llm.common import marked, saved, tune, utf8
 from tessera.llm.graph import components
 from tessera.llm.words import spaced
 
@@ -126,8 +126,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     dealt = heads.select("rep", "n", "sketch", F.explode("keys").alias("key"))
     shared = dealt.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     members = saved(dealt.join(shared, "key"), "members")
-    candidates = members.select("rep").distinct()
-    sets = saved(source.join(candidates, source.doc_id == candidates.rep, "left_semi").mapInArrow(lambda x: _sets(x, width), "rep long, set array<long>"), "sets")
+    candidates = saved(members.select(F.col("rep").alias("k")).distinct(), "candidates")
+    some = marked(source, F.col("doc_id"), candidates).filter("__hit").drop("__hit")
+    sets = saved(some.join(candidates, some.doc_id == candidates.k, "left_semi").mapInArrow(lambda x: _sets(x, width), "rep long, set array<long>"), "sets")
     # an id with several texts ties their classes together
     several = there.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x <> y").select("doc_id")
     links = saved(there.select("doc_id", "digest").join(several, "doc_id", "left_semi").join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "links")
@@ -156,15 +157,17 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """docs without the documents that are near-duplicates of one with a smaller id. Of several rows with a kept id the
-    smallest text stays. The ids that go are the smaller side, which Spark may broadcast if it is small indeed."""
+    smallest text stays. Only rows that a bitmap can't tell from those that go, or repeat an id, meet in an exchange."""
     found = saved(near_duplicates(docs, **options).select("doc_id", "kept"), "found")
-    out = docs.join(found.filter(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id") == F.col("__id"), "left_anti")
-    again = found.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("n")).filter("n > 1").select("__id")
-    if again.isEmpty():
-        return out
-    many = out.join(again, F.col("doc_id") == F.col("__id"), "left_semi")
-    first = many.withColumn("__place", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter("__place = 1").drop("__place")
-    return out.join(again, F.col("doc_id") == F.col("__id"), "left_anti").unionByName(first)
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("k"))
+    again = found.filter("kept and doc_id is not null").groupBy(F.col("doc_id").alias("k")).agg(F.count("*").alias("n")).filter("n > 1").select("k")
+    special = saved(gone.select("k", F.lit(True).alias("goes")).distinct().unionAll(again.select("k", F.lit(False).alias("goes"))), "special")
+    split = marked(docs, F.col("doc_id"), special.select("k"))
+    doubtful = split.filter("__hit").drop("__hit").join(special.withColumnsRenamed({"k": "__k", "goes": "__goes"}), F.col("doc_id") == F.col("__k"), "left").filter(~F.coalesce("__goes", F.lit(False)))
+    single = doubtful.filter("__k is null").drop("__k", "__goes")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    repeated = doubtful.filter("__k is not null").withColumn("__place", first).filter("__place = 1").drop("__place", "__k", "__goes")
+    return split.filter("not __hit").drop("__hit").unionByName(single).unionByName(repeated)
 
 
 def _bands(percent: int, rows: int) -> int:
@@ -203,7 +206,9 @@ def _by_prefix(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # of a shingle's components the largest stands on one side alone, so its inner pairs are never looked at
     sides = sizes.groupBy("token").agg(F.max(F.struct("m", "component")).alias("x"), F.min("least").alias("least"), F.count("*").alias("several")).filter("several > 1").select("token", F.col("x.component").alias("main"), "least")
     enough = lambda left, n, other: (100 + percent) * left >= percent * (n + other)
-    left = prefix.join(sides, "token").filter((F.col("component") != F.col("main")) & enough(F.col("n") - F.col("at"), F.col("n"), F.col("least"))).select("token", F.col("rep").alias("a"), F.col("component").alias("a_component"), F.col("n").alias("a_n"), F.col("at").alias("a_at"))
+    # written, so that the last join reads plain tables and Spark can split a very common shingle's side
+    left = prefix.join(saved(sides, "sides"), "token").filter((F.col("component") != F.col("main")) & enough(F.col("n") - F.col("at"), F.col("n"), F.col("least")))
+    left = saved(left.select("token", F.col("rep").alias("a"), F.col("component").alias("a_component"), F.col("n").alias("a_n"), F.col("at").alias("a_at")), "left")
     right = prefix.select("token", F.col("rep").alias("b"), F.col("component").alias("b_component"), F.col("n").alias("b_n"), F.col("at").alias("b_at"))
     near = (F.col("a_component") != F.col("b_component")) & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
     near = near & enough(F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")), F.col("a_n"), F.col("b_n"))
