@@ -17,13 +17,13 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from tessera.llm.chunks import Pieces, load, symbols
-from tessera.llm.common import kept_schema, text_bytes, texted, tune
+from tessera.llm.common import held, kept_schema, text_bytes, texted, tune
 
 LEAF = 64
 Entry = tuple[int, str, str] | bool
@@ -32,7 +32,7 @@ Entry = tuple[int, str, str] | bool
 class TreeEncoder(Pieces):
     """Tokens of units and texts under a BPE vocabulary file of the tokenizers library."""
 
-    def __init__(self, path: str, leaf: int = LEAF, most: int = 150_000):
+    def __init__(self, path: str, leaf: int = LEAF, most: int = 100_000):
         if leaf < 1:
             raise ValueError("a leaf has one symbol at least")
         super().__init__(most)
@@ -146,10 +146,9 @@ class TreeEncoder(Pieces):
         return self.library.decode(ids, skip_special_tokens=False)
 
 
-@lru_cache(maxsize=2)
 def tree_encoder(path: str, leaf: int) -> TreeEncoder:
     """One for all tasks of a Python worker."""
-    return TreeEncoder(path, leaf)
+    return held(("tree", path, leaf), lambda: TreeEncoder(path, leaf))
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, keep: list[str] | None = None, with_ids: bool = False, leaf: int = LEAF) -> DataFrame:

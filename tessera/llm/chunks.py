@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import os
 import string
-from functools import lru_cache
+
+from tessera.llm.common import held
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -151,7 +152,6 @@ class ByteLevelEncoder(Pieces):
         return (self.direct(first) if first else b"") + b"".join(values)
 
 
-@lru_cache(maxsize=2)
 def byte_level_encoder(path: str) -> ByteLevelEncoder:
     """One for all tasks of a Python worker, so that what it has learnt stays."""
-    return ByteLevelEncoder(path)
+    return held(("byte level", path), lambda: ByteLevelEncoder(path))

@@ -20,12 +20,28 @@ BATCH_ROWS = 512
 BATCH_BYTES = 32 << 20
 
 
+#: Malloc settings of Python workers: freed Arrow buffers go back to the system instead of staying with a worker.
+_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_MMAP_THRESHOLD_": "262144"}
+_held: dict = {}
+
+
+def held(key: tuple, make: Callable):
+    """What a Python worker keeps from task to task, such as a cache of words: one thing at a time, so that several
+    operators in a row don't add up."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def tune(spark: SparkSession) -> None:
     """Bound the Arrow batches and let Python workers import this library from where the driver has it."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
+    for name, value in _MEMORY.items():
+        env.setdefault(name, value)
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
     if root not in sys.path:

@@ -23,14 +23,13 @@ doc_id is linked with nothing, its component is null and it is kept. Empty table
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import marked, saved, tune, utf8
+from tessera.llm.common import held, marked, saved, tune, utf8
 from tessera.llm.graph import components
 from tessera.llm.words import spaced
 
@@ -45,7 +44,7 @@ _S29, _S32 = np.uint64(29), np.uint64(32)
 class Sets:
     """Shingle sets of texts. At most `most` words' hashes are kept."""
 
-    def __init__(self, width: int, most: int = 500_000):
+    def __init__(self, width: int, most: int = 250_000):
         self.width, self.most, self.hash = width, most, {}
 
     def of(self, text: bytes) -> np.ndarray:
@@ -70,10 +69,9 @@ class Sets:
         return np.unique(x)
 
 
-@lru_cache(maxsize=2)
 def set_maker(width: int) -> Sets:
     """One for all tasks of a Python worker."""
-    return Sets(width)
+    return held(("sets", width), lambda: Sets(width))
 
 
 class Signer:
