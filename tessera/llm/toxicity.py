@@ -6,9 +6,9 @@ inflected forms share what is learnt. A document's score is 1 - prod(1 - sentenc
 enough. Only documents have labels; training maximises their likelihood, and the gradient finds the sentences at fault.
 
 Features are hashed to 2**BITS. Those that stand in toxic training documents `lift` times as often as in the others, in
-five of them at least, are kept, `kept` at most; their counts are summed in a tree over partitions. Training rows
-are those with a label that the caller allows, of each label at most `most` by the smallest seeded hash of doc_id,
-weighted by how many there are; the driver gets only the kept features of these bounded bags. All documents are scored,
+five of them at least, are kept, `kept` at most; they are counted in each task, then by feature. Training rows
+are those with a label that the caller allows, of toxic ones about `most` at most and twice as many others, by a
+seeded hash of doc_id, weighted by how many there are; the driver gets only the kept features of these bounded bags. All documents are scored,
 in one pass without an exchange.
 
 Null and empty texts have no sentences and score 0. Labels other than 0 and 1, null ones and ids with both are left
@@ -18,7 +18,9 @@ out. Without labels of both kinds every score is 0. Repeated rows are scored eac
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,8 +28,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import kept_schema, text_bytes, texted, tree_sum, tune, utf8
-from tessera.llm.quality import clean_labels
+from tessera.llm.common import held, kept_schema, text_bytes, texted, tune, utf8
+from tessera.llm.quality import clean_labels, share
 from tessera.llm.words import alnum
 
 MOST, KEPT, BITS, LIFT, SEED = 4_000, 4_096, 18, 4.0, 3
@@ -98,31 +100,35 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str, allowed: Column
     there = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
     if len(there) < 2:
         return Model(-np.inf, {})
-    hashed = rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
-    chosen = None
-    for y in (0, 1):
-        part = hashed.filter(F.col("y") == y).orderBy("h", "doc_id").limit(most * (2 - y)).select("doc_id", "y")
-        chosen = part if chosen is None else chosen.unionAll(part)
+    drawn = [rows.filter(F.col("y") == y).filter(share(most * (2 - y), there[y], seed)).limit(2 * most * (2 - y)) for y in (0, 1)]
+    chosen = drawn[0].unionAll(drawn[1])
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "y").persist()
 
-    def frequency(batches: Iterator) -> Iterator[np.ndarray]:
-        out = np.zeros((2, (1 << BITS) + 1))
+    def frequency(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def counted(n: Counter) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([k // 2 for k in n], pa.int32()), pa.array([k % 2 for k in n], pa.int32()), pa.array([*n.values()], pa.int64())], ["feature", "y", "n"])
+
+        n: Counter = Counter()
         for b in batches:
             for t, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                found = {f for w in set(alnum(t.as_py())) for f in features(w)}
-                out[y, [*found]] += 1
-                out[y, -1] += 1
-        yield out.ravel()
-
-    counts = tree_sum(texts, frequency)
-    n = None if counts is None else counts.reshape(2, -1)
-    if n is None or not n[:, -1].all():
+                n.update({2 * f + y for w in set(alnum(t.as_py())) for f in features(w)})
+                if len(n) > 200_000:
+                    yield counted(n)
+                    n = Counter()
+        yield counted(n)
+
+    found = {r.y: r["count"] for r in texts.groupBy("y").count().collect()}
+    if len(found) < 2:
         texts.unpersist()
         return Model(-np.inf, {})
-    share = (n[:, :-1] + np.array([[0.5], [0.0]])) / n[:, -1:]
-    odds = share[1] / share[0]
-    good = np.flatnonzero((odds >= lift) & (n[1, :-1] >= 5))
-    good = good[np.lexsort((good, -odds[good] * np.sqrt(n[1, good])))][:kept]
+    of = lambda y: F.coalesce(F.sum(F.when(F.col("y") == y, F.col("n"))), F.lit(0))
+    counts = texts.mapInArrow(frequency, "feature int, y int, n long").groupBy("feature").agg(of(1).alias("toxic"), of(0).alias("other"))
+    odds = (F.col("toxic") / found[1]) / ((F.col("other") + 0.5) / found[0])
+    # 2**BITS rows at most, a few thousand in fact
+    rows = counts.withColumn("odds", odds).filter((F.col("odds") >= lift) & (F.col("toxic") >= 5)).collect()
+    good = [r.feature for r in sorted(rows, key=lambda r: (-r.odds * r.toxic**0.5, r.feature))[:kept]]
     place = {int(f): i for i, f in enumerate(good)}
     sent = spark.sparkContext.broadcast(place)
 
@@ -159,7 +165,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str, allowed: Column
 
 
 class Scorer:
-    def __init__(self, model: Model, most: int = 400_000):
+    def __init__(self, model: Model, most: int = 200_000):
         self.model, self.most, self.cache = model, most, {}
 
     def weights(self, words: set[bytes]) -> dict[bytes, float]:
@@ -198,13 +204,12 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.3, keep:
     spark = docs.sparkSession
     tune(spark)
     keep = keep or ["doc_id"]
-    # one scorer for all tasks of a Python worker, as a broadcast's value is
-    sent = spark.sparkContext.broadcast(Scorer(model))
+    sent, name = spark.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        scorer = sent.value
+        scorer = held(("toxicity", name), lambda: Scorer(sent.value))
         kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
         for b in batches:
             got = [scorer.score(t.as_py()) for t in text_bytes(b, keep)]
