@@ -105,7 +105,7 @@ class ByteLevelEncoder(Pieces):
     it, or False where it touches other white space.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 450_000):
         super().__init__(most)
         self.library = load(path)
         self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
