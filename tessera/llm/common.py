@@ -20,8 +20,9 @@ BATCH_ROWS = 512
 BATCH_BYTES = 32 << 20
 
 
-#: Malloc settings of Python workers: freed Arrow buffers go back to the system instead of staying with a worker.
-_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_MMAP_THRESHOLD_": "262144"}
+#: Malloc settings of Python workers: freed memory goes back to the system instead of staying with a worker. Arrow's own
+#: pool is left alone: with the system's, its conversion to pandas crashed.
+_MEMORY = {"MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_MMAP_THRESHOLD_": "262144"}
 _held: dict = {}
 
 
