@@ -98,6 +98,12 @@ def image_magnify(t: Inputs) -> DataFrame:
     return diff.magnify(t.left_pixels.filter("image < 10"), 2)
 
 
+@query()
+def image_magnify_whole(t: Inputs) -> DataFrame:
+    """Of all images, where image_magnify has the few that its SQL asks for."""
+    return diff.magnify(t.left_pixels, 2)
+
+
 @query("select s_suppkey, s_suppkey * 97 % 20000 as w, s_suppkey * 31 % 15000 as h, cast(s_suppkey * 97 % 20000 as bigint) * (s_suppkey * 31 % 15000) * 3 > 536870912 as too_big from {supplier}")
 def image_overview_limit(t: Inputs) -> DataFrame:
     sized = t.sql("select s_suppkey, s_suppkey * 97 % 20000 as w, s_suppkey * 31 % 15000 as h from {supplier}")

@@ -43,3 +43,14 @@ def test_all_worst_regions_hold_every_first(spark):
     best = {r.image: (r.x, r.y) for r in q["image_worst_region"](spark, DATA).collect()}
     assert {r.image: (r.x, r.y) for r in every if r.rank == 1} == best
     assert all(r.real_px > 0 for r in every)
+
+
+def test_every_image_is_magnified(spark):
+    from tessera.plans.inputs import spark_table
+
+    larger = DATA.replace("sf0.001", "sf0.01")
+    pixels = spark_table(spark, larger, "left_pixels").collect()
+    assert any(p.image >= 10 for p in pixels)
+    want = sorted((p.image, p.y * 2 + dy, p.x * 2 + dx, p.r, p.g, p.b) for p in pixels for dy in (0, 1) for dx in (0, 1))
+    got = __spark_entry__.queries()["image_magnify_whole"](spark, larger).select("image", "y", "x", "r", "g", "b").collect()
+    assert sorted(map(tuple, got)) == want
