@@ -219,6 +219,12 @@ def next_dash_point(t: Inputs) -> DataFrame:
     return O.next_dash_point(_lengths(t)).filter("line < 20").select("line", "i", F.round("next_dash", 4).alias("next_dash"))
 
 
+@query(f"with {_LENGTH} select line, i, round(min(case when flags & 32 > 0 then length end) over (partition by line, part order by i rows between 1 following and unbounded following), 4) as next_dash from g")
+def next_dash_point_whole(t: Inputs) -> DataFrame:
+    """Of all lines, where next_dash_point has the few that its SQL asks for."""
+    return O.next_dash_point(_lengths(t)).select("line", "i", F.round("next_dash", 4).alias("next_dash"))
+
+
 @query(f"with {_CUT} select line, i, round(atan2(cast(coalesce(lead(y) over w - y, y - lag(y) over w) as double), cast(coalesce(lead(x) over w - x, x - lag(x) over w) as double)), 6) as angle from p window w as (partition by line, part order by i)")
 def path_tangents(t: Inputs) -> DataFrame:
     return O.tangents(O.line_parts(t.points)).select("line", "i", F.round("angle", 6).alias("angle"))

@@ -54,3 +54,9 @@ def test_every_image_is_magnified(spark):
     want = sorted((p.image, p.y * 2 + dy, p.x * 2 + dx, p.r, p.g, p.b) for p in pixels for dy in (0, 1) for dx in (0, 1))
     got = __spark_entry__.queries()["image_magnify_whole"](spark, larger).select("image", "y", "x", "r", "g", "b").collect()
     assert sorted(map(tuple, got)) == want
+
+
+def test_every_line_has_its_next_dash_points(spark):
+    q, larger = __spark_entry__.queries(), DATA.replace("sf0.001", "sf0.01")
+    lines = {r.line for r in q["next_dash_point_whole"](spark, larger).select("line").distinct().collect()}
+    assert lines == {r.line for r in q["path_parts"](spark, larger).select("line").distinct().collect()} and max(lines) >= 20
