@@ -33,6 +33,15 @@ def color_lookup(t: Inputs) -> DataFrame:
     return O.colored(items, palette).groupBy("map_id", "color").agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"))
 
 
+@query("select r.m as map_id, r.color, count(*) as n, cast(sum(r.seq) as bigint) as seqs from (select *, map_id % 5 as m from {renderables}) r where r.color = -900 or exists (select 1 from {colors} p where p.map_id = r.m and p.priority = r.color) group by 1, 2")
+def color_lookup_whole(t: Inputs) -> DataFrame:
+    """Of all maps, where color_lookup has the three that its SQL asks for."""
+    rgb = M.cmyk_to_rgb(F.col("c"), F.col("m"), F.col("y"), F.col("k"))
+    palette = t.colors.select("map_id", "priority", "name", *[rgb[x].alias(x) for x in "rgb"], F.lit(1.0).alias("opacity"))
+    items = t.renderables.withColumn("map_id", F.col("map_id") % 5)
+    return O.colored(items, palette).groupBy("map_id", "color").agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"))
+
+
 @query("select map_id, seq, color, pen_width from {renderables} where (color >= 0 or color = -900) and not is_empty and pen_width > 0")
 def emitted_strokes(t: Inputs) -> DataFrame:
     return O.emitted(t.renderables).select("map_id", "seq", "color", "pen_width")

@@ -60,3 +60,8 @@ def test_every_line_has_its_next_dash_points(spark):
     q, larger = __spark_entry__.queries(), DATA.replace("sf0.001", "sf0.01")
     lines = {r.line for r in q["next_dash_point_whole"](spark, larger).select("line").distinct().collect()}
     assert lines == {r.line for r in q["path_parts"](spark, larger).select("line").distinct().collect()} and max(lines) >= 20
+
+
+def test_every_map_is_looked_up(spark):
+    got = __spark_entry__.queries()["color_lookup_whole"](spark, DATA).collect()
+    assert {r.map_id for r in got} == set(range(5)) == {r.map_id for r in got if r.color == -900}
