@@ -5,9 +5,10 @@ task, then by word. The model's symbols are the end, the `symbols` most frequent
 crc32 of every other word picks; inside a class, a word w has (c(w)+1) / (N+V+1), with the class's tokens N and distinct
 words V, so one share is left for words never seen. Latent states emit symbols.
 
-Training: a few rounds on a bounded sample of training texts (about `warm`, of at most `warm_bytes` each, by a seeded hash) give a start; then `rounds` rounds of Baum-Welch over all training texts, whose expected counts are
-summed across partitions in a tree. Scoring: the scaled forward recursion gives each text's exact log likelihood, to
-which the words' shares of their classes are added.
+Training: `rounds` rounds of Baum-Welch from a seeded random start, each over all training texts, whose expected counts
+are summed across partitions in a tree. Texts are turned into symbols once and written for the rounds and for scoring.
+Scoring: the scaled forward recursion gives each text's exact log likelihood, to which the words' shares of their
+classes are added.
 
 Words' counts come from two places: the `head` most frequent words of up to 64 bytes are sent to the tasks (at most
 head * 64 bytes), all others are joined by word, summed by text beforehand. The join's keys are rarer than any word of
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import saved, slot, tree_sum, tune, utf8
 from tessera.llm.words import spaced
 
-HEAD, SYMBOLS, BUCKETS, STATES, ROUNDS = 65_536, 4_095, 1_024, 6, 2
+HEAD, SYMBOLS, BUCKETS, STATES, ROUNDS = 65_536, 4_095, 1_024, 6, 14
 #: Tokens that one block of the recursions holds, unless a single text has more.
 BLOCK = 250_000
 #: Texts, or tokens, that are gathered for one call of a recursion.
@@ -98,34 +99,37 @@ def expected(model: Model, texts: list[np.ndarray]) -> tuple[Model, float]:
     """Baum-Welch counts of texts and their log likelihood."""
     k, m = len(model.begin), len(model.emit)
     found, score = Model(np.zeros(k), np.zeros((k, k)), np.zeros((m, k))), 0.0
+    emit, forth = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
     for g in groups(texts):
         steps, active = _padded([texts[i] for i in g])
         alphas, emits = [], []
         for t, n in enumerate(active):
-            e = model.emit[steps[t, :n]]
-            a = e * model.begin if not alphas else (alphas[-1][:n] @ model.move) * e
-            c = a.sum(1, keepdims=True)
+            e = emit.take(steps[t, :n], axis=1)
+            a = e * model.begin[:, None] if not alphas else (forth @ alphas[-1][:, :n]) * e
+            c = a.sum(0)
             a /= c
             score += np.log(c).sum()
             e /= c
             alphas.append(a)
             emits.append(e)
-        beta = np.ones((active[-1], k))
+        beta = np.ones((k, active[-1]))
         gammas = [alphas[-1]]
         for t in range(len(active) - 2, -1, -1):
             n = active[t + 1]
             eb = emits[t + 1] * beta
-            found.move += alphas[t][:n].T @ eb
-            b = eb @ model.move.T
-            beta = np.ones((active[t], k)) if active[t] > n else b
+            found.move += alphas[t][:, :n] @ eb.T
+            b = model.move @ eb
             if active[t] > n:
-                beta[:n] = b
+                beta = np.ones((k, active[t]))
+                beta[:, :n] = b
+            else:
+                beta = b
             gammas.append(alphas[t] * beta)
-        found.begin += gammas[-1].sum(0)
+        found.begin += gammas[-1].sum(1)
         symbols = np.concatenate([steps[t, :n] for t, n in enumerate(active)])
-        weights = np.concatenate(gammas[::-1])
+        weights = np.concatenate(gammas[::-1], axis=1)
         for s in range(k):
-            found.emit[:, s] += np.bincount(symbols, weights[:, s], m)
+            found.emit[:, s] += np.bincount(symbols, weights[s], m)
     found.move *= model.move
     return found, score
 
@@ -227,7 +231,7 @@ def _head(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
 
 
 def score_texts(
-    docs: DataFrame, modulus: int = 7, held: int = 2, states: int = STATES, rounds: int = ROUNDS, head: int = HEAD, symbols: int = SYMBOLS, buckets: int = BUCKETS, warm: int = 800, warm_bytes: int = 8_192, warm_rounds: int = 12, seed: int = 11
+    docs: DataFrame, modulus: int = 7, held: int = 2, states: int = STATES, rounds: int = ROUNDS, head: int = HEAD, symbols: int = SYMBOLS, buckets: int = BUCKETS, seed: int = 11
 ) -> DataFrame:
     """For each row of docs(doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
@@ -248,70 +252,72 @@ def score_texts(
     shares = np.concatenate([[n_texts], [n for _, n in top[: lexicon.first - 1]], per_bucket[:, 0]]) + 0.5
     prior = shares / shares.sum()
 
-    # a share by hash: as many as wanted on average, without a sort of texts
-    drawn = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, warm / max(1, n_texts)))
-    sample = train.filter(F.octet_length("text") <= warm_bytes).filter(drawn).select("text").limit(2 * warm).collect()
+    log_share = np.zeros(lexicon.size)
+    log_share[lexicon.first :] = np.log10(per_bucket.sum(1) + 1.0)
+    sent = spark.sparkContext.broadcast((lexicon, log_share))
+    kind = np.dtype("<u2" if lexicon.size <= 1 << 16 else "<u4")
+
+    def read(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        lexicon, log_share = sent.value
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary()]
+        for b in batches:
+            out = [[] for _ in kinds]
+            for t in b.column(2):
+                words = spaced(t.as_py())
+                ranks = lexicon.ranks(words)
+                s = lexicon.symbols(words, ranks)
+                known = ranks[ranks >= 0]
+                logs = lexicon.log[known]
+                tail = Counter(words[i] for i in np.flatnonzero(ranks < 0))
+                own = logs[lexicon.symbol[known] >= lexicon.first].sum() - log_share[s].sum()
+                for column, x in zip(out, (len(words) + 1, len(known), logs.sum(), own, [*tail.keys()], [*tail.values()], s.astype(kind).tobytes()), strict=True):
+                    column.append(x)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], ["doc_id", "held_out", "n_tokens", "known", "logs", "own", "tail", "times", "symbols"])
+
+    lexed = rows.mapInArrow(read, "doc_id long, held_out boolean, n_tokens long, known long, logs double, own double, tail array<binary>, times array<int>, symbols binary")
+    lexed = saved(lexed.withColumn("row", F.monotonically_increasing_id()), "symbols")
     model = started(prior, states, seed)
-    texts = [lexicon.symbols(spaced(bytes(r.text))) for r in sample]
-    for _ in range(warm_rounds if texts else 0):
-        model = updated(expected(model, texts)[0], prior)
-    sent = spark.sparkContext.broadcast(lexicon)
-    for _ in range(rounds if texts else 0):
-        now = model
-
-        def step(batches: Iterator, now: Model = now) -> Iterator[np.ndarray]:
-            lexicon, total = sent.value, None
-            for texts in gathered([lexicon.symbols(spaced(t.as_py())) for t in b.column(0)] for b in batches):
-                got = expected(now, texts)[0].packed()
+    for _ in range(rounds if n_texts else 0):
+        now = spark.sparkContext.broadcast(model)
+
+        def step(batches: Iterator, now=now) -> Iterator[np.ndarray]:
+            total = None
+            for texts in gathered([np.frombuffer(t.as_py(), kind) for t in b.column(0)] for b in batches):
+                got = expected(now.value, texts)[0].packed()
                 total = got if total is None else total + got
             if total is not None:
                 yield total
 
-        if (summed := tree_sum(train.select("text"), step)) is not None:
+        if (summed := tree_sum(lexed.filter(~F.col("held_out")).select("symbols"), step)) is not None:
             model = updated(Model.unpacked(summed, states), prior)
 
-    log_share = np.zeros(lexicon.size)
-    log_share[lexicon.first :] = np.log10(per_bucket.sum(1) + 1.0)
-    final = spark.sparkContext.broadcast((model, log_share))
+    final = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        lexicon, (model, log_share) = sent.value, final.value
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
         waiting: list = []
 
         def symbols() -> Iterator[list[np.ndarray]]:
             for b in batches:
-                texts, out = [], [[] for _ in kinds]
-                for t in b.column(2):
-                    words = spaced(t.as_py())
-                    ranks = lexicon.ranks(words)
-                    s = lexicon.symbols(words, ranks)
-                    texts.append(s)
-                    known = ranks[ranks >= 0]
-                    logs = lexicon.log[known]
-                    tail = Counter(words[i] for i in np.flatnonzero(ranks < 0))
-                    own = logs[lexicon.symbol[known] >= lexicon.first].sum() - log_share[s].sum()
-                    for column, x in zip(out, (len(words) + 1, len(known), logs.sum(), own, [*tail.keys()], [*tail.values()]), strict=True):
-                        column.append(x)
-                waiting.append([b.column(0), b.column(1), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]])
-                yield texts
+                waiting.append(b.columns[:-1])
+                yield [np.frombuffer(t.as_py(), kind) for t in b.columns[-1]]
 
         for texts in gathered(symbols()):
-            hmm = likelihoods(model, texts) / np.log(10.0)
+            hmm = likelihoods(final.value, texts) / np.log(10.0)
             at = 0
             for columns in waiting:
                 n = len(columns[0])
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(hmm[at : at + n])], ["doc_id", "held_out", "n_tokens", "known", "logs", "own", "tail", "times", "hmm"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(hmm[at : at + n])], ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "own", "hmm"])
                 at += n
             waiting.clear()
 
-    scored = rows.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, known long, logs double, own double, tail array<binary>, times array<int>, hmm double")
-    scored = saved(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    tail = scored.select("row", F.explode(F.arrays_zip("tail", "times")).alias("x")).select("row", F.col("x.tail").alias("word"), F.col("x.times").alias("times"))
+    scored = lexed.select("row", "doc_id", "held_out", "n_tokens", "known", "logs", "own", "symbols").mapInArrow(score, "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, own double, hmm double")
+    tail = lexed.select("row", F.explode(F.arrays_zip("tail", "times")).alias("x")).select("row", F.col("x.tail").alias("word"), F.col("x.times").alias("times"))
     joined = tail.join(counts, "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_logs"))
-    out = scored.drop("tail", "times").join(joined, "row", "left").na.fill(0, ["more", "more_logs"])
+    out = scored.join(joined, "row", "left").na.fill(0, ["more", "more_logs"])
     end_known, end_log = int(n_texts > 0), float(np.log10(n_texts + 1.0))
     return out.select(
         "doc_id",
