@@ -8,11 +8,11 @@ document, and the words in between are compared one by one. Nothing is joined by
 
 Items are a stated query set. They are read in blocks of `block_bytes` (by rows of the item table, in the order of
 item_id), so what is sent to the executors is bounded; with more than one block the documents are scanned once a block
-and hits are merged by document.
+and hits are merged by document row, which a written table numbers.
 
 Words: A-Z lowered, runs of letters, digits and characters beyond ASCII. Null texts have none. Empty item or document
-tables give documents without hits, or no rows. Repeated document rows (same doc_id and text) are scanned each; with
-several blocks they are told apart by their text. Repeated items count by item_id: once.
+tables give documents without hits, or no rows. Repeated document rows (same doc_id and text) are scanned each and
+stay as many. Repeated items count by item_id: once.
 """
 
 from __future__ import annotations
@@ -21,11 +21,12 @@ import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import partial, reduce
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import kept_schema, text_bytes, texted, tune, utf8
+from tessera.llm.common import kept_schema, saved, text_bytes, texted, tune, utf8
 from tessera.llm.words import alnum
 
 WIDTH, BLOCK_BYTES = 8, 1 << 20
@@ -115,20 +116,24 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, min_ite
     tune(docs.sparkSession)
     keep = keep or ["doc_id"]
     items = items.select("item_id", "text")
+    rest = blocks(items, width, block_bytes)
+    first, second = next(rest, {}), next(rest, None)
+    if second is None:
+        return _scan(docs, first, keep, min_items)
+    kept = [F.col(f"`{c}`") for c in keep]
+    numbered = saved(docs.select(*kept, *([] if "text" in keep else ["text"]), F.monotonically_increasing_id().alias("__row")), "documents")
     # a block leaves the driver's memory once it is sent
-    parts = [_scan(docs, p, keep, min_items) for p in blocks(items, width, block_bytes)]
-    if len(parts) <= 1:
-        return parts[0] if parts else _scan(docs, {}, keep, min_items)
-    found = reduce(DataFrame.unionAll, parts)
+    found = reduce(DataFrame.unionAll, (_scan(numbered, p, ["__row"], min_items) for p in chain([first, second], rest)))
     spans = F.array_sort(F.flatten(F.collect_list("spans")))
     joined = F.aggregate(
         spans,
         F.array().cast("array<array<int>>"),
         lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)[1] >= x[0]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.array(F.element_at(acc, -1)[0], F.greatest(F.element_at(acc, -1)[1], x[1]))))).otherwise(F.concat(acc, F.array(x))),
     )
-    found = found.groupBy(*keep, "n_words", "row").agg(joined.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    found = found.groupBy("__row").agg(F.first("n_words").alias("n_words"), F.first("row").alias("row"), joined.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     total = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x[1] - x[0])
-    return found.select(*keep, "n_words", total.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("items") >= min_items).alias("contaminated"), "items", "spans", "row")
+    found = numbered.select(*kept, "__row").join(found, "__row")
+    return found.select(*kept, "n_words", total.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("items") >= min_items).alias("contaminated"), "items", "spans", "row")
 
 
 def _scan(docs: DataFrame, block: dict[Shingle, list[str]], keep: list[str], min_items: int) -> DataFrame:

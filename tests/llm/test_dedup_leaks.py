@@ -122,6 +122,16 @@ def test_leaks_equal_brute_force(spark, block):
     assert not any(r.n_items for r in decontaminate.decontaminate(d, b.limit(0)).collect())
 
 
+@pytest.mark.parametrize("keep", [["doc_id"], ["doc_id", "text"]])
+def test_repeated_rows_stay_with_several_blocks(spark, keep):
+    items = [(i, f"item {'abcdefg'[i]} " * 6) for i in range(7)]
+    docs = [(1, items[0][1]), (1, items[0][1]), (None, "no id"), (None, "no id"), (2, None), (2, ""), (3, f"{items[1][1]} {items[6][1]}"), (3, f"{items[1][1]} {items[6][1]}")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.decontaminate(d, b, keep=keep, block_bytes=40).collect()
+    want = [((i, t)[: len(keep)], *brute_leaks(t, items)) for i, t in docs]
+    assert sorted([(tuple(r[k] for k in keep), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got], key=repr) == sorted(want, key=repr)
+
+
 def canonical(text):
     import unicodedata
 
