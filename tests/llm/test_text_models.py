@@ -178,6 +178,14 @@ def test_style_tree_removes_what_repeats(spark):
     assert all("rights" not in t and f"Story {i} about" in t for i, t in got.items())
 
 
+def test_near_copies_keep_their_article(spark):
+    rows = [(i, "http://n.c/p", f"<body><nav>Menu</nav><article><h1>Title {i}</h1><p>The same first paragraph.</p><p>The same second one.</p><div class='ad'>Buy</div></article></body>") for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for most in (extract.MOST, 0):
+        got = {r.page_id: r.text for r in extract.extract_text(pages, most).collect()}
+        assert got == {i: f"Title {i}\nThe same first paragraph.\nThe same second one." for i in range(20)}
+
+
 def test_op5_whole_table(spark, data):
     from html import unescape
 
