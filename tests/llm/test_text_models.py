@@ -139,6 +139,15 @@ def test_license_automata():
         assert license.compile_template(t).find(license.alnum(plain.encode())) is not None, name
 
 
+@pytest.mark.parametrize(("name", "rest"), [("mit", "THE SOFTWARE IS PROVIDED"), ("isc", "THE SOFTWARE IS PROVIDED"), ("apache-2.0-header", "See the License")])
+def test_licenses_without_their_mandatory_rest_are_none(name, rest):
+    a = license.compile_template(license.TEMPLATES[name])
+    plain = re.sub(r'<<var;name="\w+";words="[^"]*">>', "the authors", re.sub(r'<<var;name="\w+";match="([^|"]*)[^"]*">>', r"\1", re.sub(r"<<(?:begin|end)Optional>>", " ", license.TEMPLATES[name])))
+    assert a.find(license.alnum(plain.encode())) is not None
+    for cut in (plain[: plain.index(rest)], plain.rpartition(" ")[0], plain.replace(rest, f"{rest} never")):
+        assert a.find(license.alnum(cut.encode())) is None
+
+
 def test_op6_base_columns(spark, data):
     phrases = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
