@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The characters that Unicode calls white space, as a Java character class.
 SPACE = r"[\x09-\x0D\x20\x85\xA0  -     　]"
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 NOT_SPACE = SPACE.replace("[", "[^", 1)
 DECIMAL = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|[+-]?(?i:inf|infinity|nan)"
 
@@ -146,11 +147,32 @@ def settings(text: Column) -> tuple[Column, Column]:
     return F.when(both, resolution), F.when(both, frame)
 
 
-def coordinates(text: Column) -> Column:
-    """array<struct<x:int,y:int,flags:int>> of "x y[ flags];" records, in native units, up to the first bad record."""
-    record = rf"{SPACE}*([+-]?[0-9]+){SPACE}+([+-]?[0-9]+)(?![^\s;])(?:{SPACE}+([^\s;]+))?(?:{SPACE}|;)*"
-    good = F.regexp_extract(text, rf"^(?:{record})*", 0)
-    x, y, flags = (F.regexp_extract_all(good, F.lit(record), F.lit(i)) for i in (1, 2, 3))
-    found = F.zip_with(F.arrays_zip(x.alias("x"), y.alias("y")), flags, lambda p, f: F.struct(p["x"].try_cast("int").alias("x"), p["y"].try_cast("int").alias("y"), F.coalesce(to_int(f), F.lit(0)).alias("flags")))
-    bad = F.array_position(F.transform(found, lambda c: c["x"].isNull() | c["y"].isNull()), True)
-    return F.when(bad > 0, F.slice(found, F.lit(1), bad - 1)).otherwise(found)
+#: One coordinate record behind the one before it; possessive, so a text's length costs no stack.
+_RECORD = r"\G *+([+-]?[0-9]++) ++([+-]?[0-9]++)(?![^ ;])(?: ++(?:(?!\+-)\+?+(-?[0-9]++)(?![^ ;])|[^ ;]++))?+[ ;]*+"
+
+
+def with_coordinates(df: DataFrame, text: str, name: str) -> DataFrame:
+    """df and, as column `name`, the array<struct<x:int,y:int,flags:int>> of a text column's "x y[ flags];" records, in
+    native units, up to the first bad one. Flags that are no number are 0. A row of more than three tokens without a
+    semicolon is several records. Steps are columns of their own, so each is computed once and in generated code."""
+    own = [f"`{c}`" for c in df.columns]
+    step = df.select(*own, F.translate(F.col(text), SPACES, " " * len(SPACES)).alias("__blank"))
+    step = step.select(*own, F.col("__blank").rlike("[0-9]{10}").alias("__long"), *[F.regexp_extract_all("__blank", F.lit(_RECORD), F.lit(i)).alias(f"__{c}") for i, c in enumerate("xyf", 1)])
+    # a 0 before each flag stands for missing ones
+    given = F.replace(F.replace(F.concat(F.lit(","), F.array_join("__f", ",")), F.lit(","), F.lit(",0")), F.lit(",0-"), F.lit(",-0"))
+    step = step.select(*own, "__long", "__x", "__y", "__f", F.split(given, ",").alias("__given"))
+    # numbers of nine digits fit, so whole arrays are cast
+    cast = lambda c: F.when(~F.col("__long"), c.cast("array<int>"))
+    plain = F.arrays_zip(cast(F.col("__x")).alias("x"), cast(F.col("__y")).alias("y"), cast(F.slice("__given", F.lit(2), F.size("__x"))).alias("flags"))
+    step = step.select(*own, plain.alias("__plain"), F.when(F.col("__long"), F.arrays_zip(F.col("__x").alias("x"), F.col("__y").alias("y"), F.col("__f").alias("flags"))).alias("__strings"))
+    return step.select(*own, F.when(F.col("__strings").isNotNull(), _checked(F.col("__strings"))).otherwise(F.col("__plain")).alias(name))
+
+
+def _checked(strings: Column) -> Column:
+    """Records of a text whose numbers may be too large."""
+    number = lambda t: F.when(t != "", t.try_cast("int"))
+    # each step is bound once: lambdas don't share what they compute
+    bound = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    read = F.transform(strings, lambda p: F.struct(number(p["x"]).alias("x"), number(p["y"]).alias("y"), F.coalesce(number(p["flags"]), F.lit(0)).alias("flags")))
+    good = lambda c: F.slice(c, F.lit(1), F.coalesce(F.nullif(F.array_position(F.transform(c, lambda r: r["x"].isNull() | r["y"].isNull()), True), F.lit(0)) - 1, F.size(c)).cast("int"))
+    return bound(read, good)

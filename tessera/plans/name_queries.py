@@ -166,6 +166,6 @@ _COORDS = """select l_orderkey, l_linenumber, l_partkey, l_suppkey, concat(cast(
 
 @query(f"with c as ({_COORDS}) select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_partkey % 5 = 0 then 1 else 3 end as n, l_partkey + case when l_partkey % 5 = 0 then 0 else l_orderkey + l_suppkey end as sx, -l_suppkey + case when l_partkey % 5 = 0 then 0 else 10 end as sy, case when l_linenumber % 2 = 0 then l_linenumber else 0 end + case when l_partkey % 5 = 0 then 0 else 18 end as sf from c")
 def coordinate_parse(t: Inputs) -> DataFrame:
-    found = t.sql(_COORDS).withColumn("c", T.coordinates(F.col("coords")))
+    found = T.with_coordinates(t.sql(_COORDS), "coords", "c")
     total = lambda f: F.aggregate("c", F.lit(0).cast("long"), lambda acc, x: acc + x[f])
     return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.size("c").alias("n"), total("x").alias("sx"), total("y").alias("sy"), total("flags").alias("sf"))
