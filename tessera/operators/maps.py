@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import math as M
+from tessera.scratch import saved
 
 #: The colour drawn last and on top, and the symbol types.
 REGISTRATION = -900
 POINT, LINE, AREA, TEXT, COMBINED = 1, 2, 4, 8, 16
-#: Parts of parts are followed so deep; a symbol that holds itself ends there.
-PART_DEPTH = 16
 
 
 def is_color(color: Column) -> Column:
@@ -67,31 +68,54 @@ def resolved_parts(parts: DataFrame, symbols: DataFrame) -> DataFrame:
     return placed.join(ids, ["map_id", "part_id"], "left").withColumn("part", F.when(~F.col("is_private"), F.col("part")))
 
 
-def part_tree(roots: DataFrame, parts: DataFrame, depth: int = PART_DEPTH) -> DataFrame:
-    """map_id, root, seq, path, level: every way from roots(map_id, seq) down parts(map_id, parent, part_seq, part). One
-    join a level, until a level is empty or `depth` is reached."""
-    below = parts.filter("part is not null").select("map_id", F.col("parent").alias("seq"), "part_seq", "part").cache()
-    level = roots.select("map_id", F.col("seq").alias("root"), "seq", F.array().cast("array<int>").alias("path"), F.lit(0).alias("level"))
-    found = level
-    for n in range(1, depth + 1):
-        level = level.join(below, ["map_id", "seq"]).select("map_id", "root", F.col("part").alias("seq"), F.concat("path", F.array(F.col("part_seq").cast("int"))).alias("path"), F.lit(n).alias("level"))
-        level = level.cache()
-        if level.isEmpty():
-            break
-        found = found.unionAll(level)
-    return found
-
-
-def closure(roots: DataFrame, parts: DataFrame, depth: int = PART_DEPTH) -> DataFrame:
-    """map_id, root, seq: each symbol that a root is made of, itself included, once."""
-    below = parts.filter("part is not null").select("map_id", F.col("parent").alias("seq"), "part").distinct().cache()
-    found = level = roots.select("map_id", F.col("seq").alias("root"), "seq").distinct().cache()
-    for _ in range(depth):
-        level = level.join(below, ["map_id", "seq"]).select("map_id", "root", F.col("part").alias("seq")).distinct().cache()
-        if level.isEmpty():
+def ways(parts: DataFrame) -> DataFrame:
+    """map_id, top, seq, path, level: every way of one step or more down parts(map_id, parent, part_seq, part), from
+    any parent. A way ends before a symbol that it has been through, so symbols that hold themselves do no harm. Each
+    round doubles the length of the ways it knows, so there are as many rounds as the depth has binary digits, and each
+    starts from written tables. A null part leads nowhere; an empty table has no ways."""
+    step = parts.filter("part is not null and part <> parent").select(
+        "map_id", F.col("parent").alias("top"), F.col("part").alias("seq"), F.array(F.col("part_seq").cast("int")).alias("path"), F.array("parent", "part").alias("through"), F.lit(1).alias("level")
+    )
+    known = longest = saved(step, "ways")
+    found = [known]
+    length = 1
+    while True:
+        below = known.select("map_id", F.col("top").alias("seq"), F.col("seq").alias("end"), F.col("path").alias("rest"), F.col("through").alias("more"), F.col("level").alias("levels"))
+        apart = ~F.arrays_overlap("through", F.slice("more", F.lit(2), F.size("more")))
+        new = longest.join(below, ["map_id", "seq"]).filter(apart)
+        new = new.select("map_id", "top", F.col("end").alias("seq"), F.concat("path", "rest").alias("path"), F.concat("through", F.slice("more", F.lit(2), F.size("more"))).alias("through"), (F.col("level") + F.col("levels")).alias("level"))
+        new = saved(new, "ways")
+        if new.isEmpty():
+            return reduce(DataFrame.unionAll, found).drop("through")
+        found.append(new)
+        length *= 2
+        known, longest = known.unionAll(new), new.filter(F.col("level") == length)
+
+
+def part_tree(roots: DataFrame, parts: DataFrame) -> DataFrame:
+    """map_id, root, seq, path, level: roots(map_id, seq) and every way from them down parts(map_id, parent, part_seq,
+    part); see ways()."""
+    own = roots.select("map_id", F.col("seq").alias("root"), "seq", F.array().cast("array<int>").alias("path"), F.lit(0).alias("level"))
+    down = own.select("map_id", "root").join(ways(parts).withColumnRenamed("top", "root"), ["map_id", "root"])
+    return own.unionByName(down)
+
+
+def closure(roots: DataFrame, parts: DataFrame) -> DataFrame:
+    """map_id, root, seq: each symbol that a root is made of, itself included, once. Pairs at up to twice the distance
+    are joined in each round and those already known are left out, so cycles end and depth costs its logarithm."""
+    known = newest = saved(parts.filter("part is not null").select("map_id", F.col("parent").alias("root"), F.col("part").alias("seq")).distinct(), "closure")
+    found = [known]
+    while True:
+        below = known.select("map_id", F.col("root").alias("seq"), F.col("seq").alias("end"))
+        new = newest.join(below, ["map_id", "seq"]).select("map_id", "root", F.col("end").alias("seq")).distinct()
+        newest = saved(new.join(known, ["map_id", "root", "seq"], "left_anti"), "closure")
+        if newest.isEmpty():
             break
-        found = found.unionAll(level)
-    return found.distinct()
+        found.append(newest)
+        known = known.unionAll(newest)
+    own = roots.select("map_id", F.col("seq").alias("root"), "seq").distinct()
+    below = own.select("map_id", "root").join(reduce(DataFrame.unionAll, found), ["map_id", "root"]).filter("root <> seq")
+    return own.unionByName(below)
 
 
 def tree_facts(tree: DataFrame, symbols: DataFrame) -> DataFrame:

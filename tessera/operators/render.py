@@ -1,7 +1,7 @@
 """From map tables to pictures: draws, shapes, extents, tiles and images, as plans keyed by map.
 
-Objects meet their symbols in a join, combined symbols are taken apart level by level, and every draw is expanded where
-its row is. One aggregate gives each map's extent and size. Shapes go to the tiles that their boxes touch, and each
+Combined symbols are taken apart once a symbol; objects meet what they draw with in a join, and every draw is expanded
+where its row is. One aggregate gives each map's extent and size. Shapes go to the tiles that their boxes touch, and each
 tile is painted by itself in colour order, so no map is ever whole in one task until a file of it is asked for.
 """
 
@@ -19,6 +19,7 @@ from tessera.functions import paths as P
 from tessera.operators import maps as O
 from tessera.operators.expand import Expander
 from tessera.operators.raster import Tile, coverage, stroke_polygons
+from tessera.scratch import saved
 from tessera.sources.png import encode
 from tessera.sources.xmap import MapTables
 
@@ -38,18 +39,15 @@ def draws(t: MapTables) -> DataFrame:
     symbols = t.symbols
     objects = O.resolved(t.objects, symbols.filter("parent is null")).filter("symbol_seq is not null")
     shown = symbols.filter(O.is_visible(F.col("is_hidden"), F.col("is_helper")))
-    facts = shown.select("map_id", F.col("seq").alias("symbol_seq"), "symbol_type", F.col("body").alias("symbol"))
-    parts = O.resolved_parts(t.parts, symbols.filter("parent is null")).withColumn("part", F.coalesce("part", "own")).filter("part is not null")
-    below = parts.select("map_id", F.col("parent").alias("symbol_seq"), "part_seq", "part")
-    level = objects.select("map_id", "object_seq", "symbol_seq", F.array().cast("array<int>").alias("way"), "body").join(facts, ["map_id", "symbol_seq"])
-    found = None
-    for _ in range(O.PART_DEPTH):
-        leaves = level.filter(F.col("symbol_type") != O.COMBINED).select("map_id", "object_seq", "way", "symbol", "body")
-        found = leaves if found is None else found.unionAll(leaves)
-        level = level.filter(F.col("symbol_type") == O.COMBINED).drop("symbol", "symbol_type").join(below, ["map_id", "symbol_seq"])
-        level = level.select("map_id", "object_seq", F.col("part").alias("symbol_seq"), F.concat("way", F.array("part_seq")).alias("way"), "body").join(facts, ["map_id", "symbol_seq"]).cache()
-        if level.isEmpty():
-            break
+    facts = saved(shown.select("map_id", F.col("seq").alias("symbol_seq"), "symbol_type", F.col("body").alias("symbol")), "symbols")
+    parts = O.resolved_parts(t.parts, symbols.filter("parent is null")).withColumn("part", F.coalesce("part", "own"))
+    parts = parts.join(facts.select("map_id", F.col("symbol_seq").alias("part")), ["map_id", "part"])
+    kind = F.col("symbol_type") == O.COMBINED
+    down = O.ways(parts).select("map_id", F.col("top").alias("symbol_seq"), F.col("seq").alias("part"), F.col("path").alias("way"))
+    leaves = down.join(facts.filter(~kind).select("map_id", F.col("symbol_seq").alias("part"), "symbol"), ["map_id", "part"]).select("map_id", "symbol_seq", "way", "symbol")
+    drawn = objects.select("map_id", "object_seq", "symbol_seq", "body").join(facts, ["map_id", "symbol_seq"])
+    whole = drawn.filter(~kind).select("map_id", "object_seq", F.array().cast("array<int>").alias("way"), "symbol", "body")
+    found = whole.unionByName(drawn.filter(kind).drop("symbol").join(leaves, ["map_id", "symbol_seq"]).select("map_id", "object_seq", "way", "symbol", "body"))
     colors = t.colors.groupBy("map_id").agg(F.sort_array(F.collect_list("priority")).alias("priorities"))
     return found.join(colors, "map_id", "left").withColumn("priorities", F.concat(F.coalesce("priorities", F.array().cast("array<int>")), F.array(F.lit(O.REGISTRATION))))
 

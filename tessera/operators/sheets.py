@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions import paths as P
 from tessera.functions.number import qt_number
 from tessera.operators.expand import Expander
-from tessera.operators.maps import AREA, COMBINED, LINE, PART_DEPTH, POINT, REGISTRATION, TEXT
+from tessera.operators.maps import AREA, COMBINED, LINE, POINT, REGISTRATION, TEXT
 from tessera.operators.text import draw_text
 from tessera.operators.writer import map_xml
 from tessera.sources.xmap import Reader, fragments
@@ -120,22 +120,27 @@ class Facts:
     min_area: int
 
 
-def tree(symbols: list[dict], ids: dict[int, int], symbol: dict, depth: int = 0) -> Iterator[dict]:
-    """The symbol and its parts' parts; of map symbols only those of a top-level combined symbol are known."""
-    yield symbol
-    if symbol["type"] == COMBINED and depth < PART_DEPTH:
-        owned = iter(symbol["owned"])
-        for part in symbol["part_ids"]:
-            if part is None:
-                inner = next(owned, None)
-                if inner is not None:
-                    yield from [inner] if inner["type"] == COMBINED else tree(symbols, ids, inner, depth + 1)
-            elif part in ids:
-                yield from tree(symbols, ids, symbols[ids[part]], depth + 1)
+def tree(symbols: list[dict], ids: dict[int, int], symbol: dict) -> list[dict]:
+    """The symbol and all that it is made of, each once; of private parts that are combined only they themselves."""
+    found, todo, seen = [], [(symbol, True)], set()
+    while todo:
+        s, known = todo.pop()
+        if id(s) in seen:
+            continue
+        seen.add(id(s))
+        found.append(s)
+        if s["type"] == COMBINED and known:
+            owned = iter(s["owned"])
+            for part in s["part_ids"]:
+                if part in ids:
+                    todo.append((symbols[ids[part]], True))
+                elif part is None and (inner := next(owned, None)) is not None:
+                    todo.append((inner, inner["type"] != COMBINED))
+    return found
 
 
 def facts(symbols: list[dict], ids: dict[int, int], symbol: dict) -> Facts:
-    found = [*tree(symbols, ids, symbol)]
+    found = tree(symbols, ids, symbol)
     types = 0
     for s in found:
         types |= s["type"]
@@ -292,23 +297,18 @@ def _read(data: bytes) -> tuple[Reader, dict, dict[int, int]]:
 
 
 def leaves(symbols: list[dict], ids: dict[int, int], symbol: dict) -> list[dict]:
-    """What a symbol draws with: hidden parts and helpers draw nothing."""
-    if symbol["type"] != COMBINED:
-        return [symbol]
+    """What a symbol draws with, in order: hidden parts and helpers draw nothing, nor does a symbol inside itself."""
     found: list[dict] = []
-
-    def go(s: dict, depth: int) -> None:
-        owned = iter(s["owned"])
-        for part in s["part_ids"]:
-            inner = next(owned, None) if part is None else symbols[ids[part]] if part in ids else None
-            if inner is None or inner["is_hidden"] or inner["is_helper"] or depth > PART_DEPTH:
-                continue
-            if inner["type"] != COMBINED:
-                found.append(inner)
-            elif part is not None:
-                go(inner, depth + 1)
-
-    go(symbol, 1)
+    todo: list[tuple[dict, bool, tuple[int, ...]]] = [(symbol, True, ())]
+    while todo:
+        s, known, above = todo.pop()
+        if s["type"] != COMBINED:
+            found.append(s)
+        elif known and id(s) not in above:
+            owned = iter(s["owned"])
+            inner = [(next(owned, None), False) if part is None else (symbols[ids[part]] if part in ids else None, True) for part in s["part_ids"]]
+            shown = [(x, shared, (*above, id(s))) for x, shared in inner if x is not None and not x["is_hidden"] and not x["is_helper"]]
+            todo += reversed(shown)
     return found
 
 

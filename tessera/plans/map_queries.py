@@ -82,7 +82,7 @@ def resolve_parts(t: Inputs) -> DataFrame:
     return O.resolved_parts(t.parts, t.symbols).select("map_id", "parent", "part_seq", "part_id", F.col("owned").cast("long").alias("owned"), "part")
 
 
-@query(f"with recursive {_PARTS}, tree as (select map_id, seq as root, seq, 0 as level from {{symbols}} where symbol_type = 16 union all select t.map_id, t.root, pp.part, t.level + 1 from tree t join pp on pp.map_id = t.map_id and pp.parent = t.seq where pp.part is not null and t.level < 16) select map_id, root, level, count(*) as n, cast(sum(seq) as bigint) as seqs from tree group by all")
+@query(f"with recursive {_PARTS}, tree as (select map_id, seq as root, seq, [seq] as through, 0 as level from {{symbols}} where symbol_type = 16 union all select t.map_id, t.root, pp.part, list_append(t.through, pp.part), t.level + 1 from tree t join pp on pp.map_id = t.map_id and pp.parent = t.seq where pp.part is not null and not list_contains(t.through, pp.part)) select map_id, root, level, count(*) as n, cast(sum(seq) as bigint) as seqs from tree group by all")
 def part_tree(t: Inputs) -> DataFrame:
     tree = O.part_tree(t.symbols.filter("symbol_type = 16"), O.resolved_parts(t.parts, t.symbols))
     return tree.groupBy("map_id", "root", "level").agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"))
