@@ -8,7 +8,8 @@ words V, so one share is left for words never seen. Latent states emit symbols.
 Training: `rounds` rounds of Baum-Welch from a seeded random start, each over all training texts, whose expected counts
 are summed across partitions in a tree. Texts are turned into symbols once and written for the rounds and for scoring.
 Scoring: the scaled forward recursion gives each text's exact log likelihood, to which the words' shares of their
-classes are added.
+classes are added. Both recursions take many texts side by side; a long text is cut into stretches that stand side by
+side too, joined exactly by the matrices that carry states across them, so its memory has a bound.
 
 Words' counts come from two places: the `head` most frequent words of up to 64 bytes are sent to the tasks (at most
 head * 64 bytes), all others are joined by word, summed by text beforehand. The join's keys are rarer than any word of
@@ -34,10 +35,10 @@ from tessera.llm.common import saved, slot, tree_sum, tune, utf8
 from tessera.llm.words import spaced
 
 HEAD, SYMBOLS, BUCKETS, STATES, ROUNDS = 65_536, 4_095, 1_024, 6, 14
-#: Tokens that one block of the recursions holds, unless a single text has more.
-BLOCK = 250_000
+#: Tokens whose weights a recursion holds at once, and the longest stretch of a text that is one row there.
+BLOCK, SEGMENT = 1_000_000, 4_096
 #: Texts, or tokens, that are gathered for one call of a recursion.
-TEXTS, TOKENS = 4_096, 2_000_000
+TEXTS, TOKENS = 8_192, 1_000_000
 
 
 @dataclass
@@ -55,81 +56,175 @@ class Model:
         return Model(x[:a], x[a:b].reshape(states, states), x[b:].reshape(-1, states))
 
 
-def groups(texts: list[np.ndarray], most: int = BLOCK) -> Iterator[np.ndarray]:
-    """Indices of texts of like lengths, longest first, about `most` tokens together."""
-    order = np.argsort([-len(t) for t in texts], kind="stable")
+def groups(lengths: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Indices of stretches, longest first, at most `most` tokens together (or one stretch)."""
+    order = np.argsort(-lengths, kind="stable")
+    total = np.cumsum(lengths[order])
     at = 0
     while at < len(order):
-        n = max(1, len(texts[order[at]]))
-        # a group's recursion has as many steps as its longest text, so much shorter ones wait for another group
-        end = at + 1
-        while end < len(order) and (end - at + 1) * n <= 4 * most and len(texts[order[end]]) * 8 >= n - 400:
-            end += 1
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, side="right")))
         yield order[at:end]
         at = end
 
 
-def _padded(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols by step and text (texts by falling length), and the number of texts that reach a step."""
-    lengths = np.array([len(t) for t in texts])
-    steps = np.zeros((lengths[0], len(texts)), np.int32)
-    for i, t in enumerate(texts):
-        steps[: len(t), i] = t
-    return steps, np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
+class Rows:
+    """Stretches side by side: at each step the next symbol of all that are long enough. Flat arrays hold step after
+    step; step t has the first active[t] stretches, from offset[t] on."""
+
+    def __init__(self, stretches: list[np.ndarray]):
+        lengths = np.fromiter(map(len, stretches), np.int64, len(stretches))
+        self.steps, self.lengths = int(lengths[0]), lengths
+        self.active = np.searchsorted(-lengths, -np.arange(self.steps), side="left")
+        self.offset = np.concatenate([[0], np.cumsum(self.active)])
+        self.symbols = np.empty(self.offset[-1], np.int32)
+        for i, x in enumerate(stretches):
+            self.symbols[self.offset[: len(x)] + i] = x
+
+    def at(self, t: int, n: int | None = None) -> slice:
+        """Step t, or its first n stretches."""
+        return slice(self.offset[t], self.offset[t] + (self.active[t] if n is None else n))
+
+
+def transfers(model: Model, stretches: list[np.ndarray], first: list[bool], kind: type) -> np.ndarray:
+    """For each stretch the matrix, up to a factor, by which it carries the states' weights from before it to its end;
+    the first stretch of a text has no move before its first symbol."""
+    k = len(model.begin)
+    order = sorted(range(len(stretches)), key=lambda i: -len(stretches[i]))
+    rows = Rows([stretches[i] for i in order])
+    # a symbol's largest share is 1, so a few steps need no scaling
+    emit = np.ascontiguousarray((model.emit / model.emit.max(1, keepdims=True)).T.astype(kind))
+    move = model.move.astype(kind)
+    now = np.where(np.array(first)[order][:, None, None], np.eye(k, dtype=kind), move)
+    now *= emit[:, rows.symbols[rows.at(0)]].T[:, None, :]
+    moved = np.empty_like(now)
+    for t in range(1, rows.steps):
+        n = rows.active[t]
+        np.matmul(now[:n].reshape(-1, k), move, out=moved[:n].reshape(-1, k))
+        np.multiply(moved[:n], emit.take(rows.symbols[rows.at(t)], axis=1).T[:, None, :], out=now[:n])
+        if t % 4 == 0:
+            now[:n] /= now[:n].max((1, 2))[:, None, None]
+    out = np.empty_like(now)
+    out[order] = now / now.max((1, 2))[:, None, None]
+    return out
+
+
+@dataclass
+class Cut:
+    """Stretches of texts, at most `segment` symbols each. A text that is longer is several of them, which are computed
+    side by side: `before` has the states' weights at the end of the stretch before (None for a text's first one) and
+    `behind` what follows makes of each state at a stretch's end (None for a text's last one). Both come from the
+    stretches' transfer matrices, so cutting changes no result."""
+
+    stretches: list[np.ndarray]
+    text: list[int]
+    before: list[np.ndarray | None]
+    behind: list[np.ndarray | None]
+
+    @staticmethod
+    def of(model: Model, texts: list[np.ndarray], kind: type, segment: int, block: int) -> Cut:
+        out = Cut([], [], [], [])
+        long: list[tuple[int, list[np.ndarray]]] = []
+        for i, x in enumerate(texts):
+            if len(x) > segment:
+                long.append((i, [x[at : at + segment] for at in range(0, len(x), segment)]))
+            else:
+                out.stretches.append(x)
+                out.text.append(i)
+        out.before, out.behind = [None] * len(out.text), [None] * len(out.text)
+        pieces = [(x, j == 0) for _, cut in long for j, x in enumerate(cut)]
+        size = max(1, block // segment)
+        matrices = [m for at in range(0, len(pieces), size) for m in transfers(model, *map(list, zip(*pieces[at : at + size], strict=True)), kind)]
+        for i, cut in long:
+            own, matrices = matrices[: len(cut)], matrices[len(cut) :]
+            weights, follows = model.begin.astype(kind), np.ones(len(model.begin), kind)
+            before, behind = [None], [None]
+            for m in own[:-1]:
+                weights = weights @ m
+                weights = weights / weights.sum()
+                before.append(weights)
+            for m in own[:0:-1]:
+                follows = m @ follows
+                follows = follows / follows.sum()
+                behind.append(follows)
+            out.stretches += cut
+            out.text += [i] * len(cut)
+            out.before += before
+            out.behind += behind[::-1]
+        return out
+
+    def grouped(self, block: int) -> Iterator[tuple[np.ndarray, Rows]]:
+        for g in groups(np.fromiter(map(len, self.stretches), np.int64, len(self.stretches)), block):
+            yield g, Rows([self.stretches[i] for i in g])
+
+    def starts(self, model: Model, g: np.ndarray, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The weights that a group's first symbols meet, which stretches go on with a text, and these ones' weights at
+        the end of the stretch before."""
+        inner = np.array([i for i, j in enumerate(g) if self.before[j] is not None], np.int64)
+        start = np.repeat(model.begin.astype(kind)[:, None], len(g), 1)
+        before = np.stack([self.before[g[i]] for i in inner], 1) if len(inner) else np.empty((len(start), 0), kind)
+        start[:, inner] = model.move.T.astype(kind) @ before
+        return start, inner, before
 
 
-def likelihoods(model: Model, texts: list[np.ndarray]) -> np.ndarray:
+def likelihoods(model: Model, texts: list[np.ndarray], segment: int = SEGMENT, block: int = BLOCK) -> np.ndarray:
     """Natural log likelihood of each text, by the scaled forward recursion."""
     out = np.zeros(len(texts))
-    for g in groups(texts):
-        steps, active = _padded([texts[i] for i in g])
-        total = np.zeros(len(g))
-        a = None
-        for t, n in enumerate(active):
-            e = model.emit[steps[t, :n]]
-            a = e * model.begin if a is None else (a[:n] @ model.move) * e
-            c = a.sum(1)
-            a /= c[:, None]
-            total[:n] += np.log(c)
-        out[g] = total
+    emit, forth = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
+    cut = Cut.of(model, texts, float, segment, block)
+    for g, rows in cut.grouped(block):
+        a, _, _ = cut.starts(model, g, float)
+        logs = np.zeros(len(g))
+        emits, scale = emit.take(rows.symbols, axis=1), np.empty(len(rows.symbols))
+        for t, n in enumerate(rows.active):
+            if t:
+                a = forth @ a[:, :n]
+            a *= emits[:, rows.at(t)]
+            a /= np.add.reduce(a, 0, out=scale[rows.at(t)])
+        np.log(scale, out=scale)
+        for t, n in enumerate(rows.active):
+            logs[:n] += scale[rows.at(t)]
+        np.add.at(out, np.array(cut.text)[g], logs)
     return out
 
 
-def expected(model: Model, texts: list[np.ndarray]) -> tuple[Model, float]:
-    """Baum-Welch counts of texts and their log likelihood."""
+def expected(model: Model, texts: list[np.ndarray], segment: int = SEGMENT, block: int = BLOCK, kind: type = np.float32) -> tuple[Model, float]:
+    """Baum-Welch counts of texts and their log likelihood. Memory holds `block` tokens' weights, however long a text
+    is. Recursions are scaled at every step, so single precision is enough; sums are in double precision."""
     k, m = len(model.begin), len(model.emit)
     found, score = Model(np.zeros(k), np.zeros((k, k)), np.zeros((m, k))), 0.0
-    emit, forth = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
-    for g in groups(texts):
-        steps, active = _padded([texts[i] for i in g])
-        alphas, emits = [], []
-        for t, n in enumerate(active):
-            e = emit.take(steps[t, :n], axis=1)
-            a = e * model.begin[:, None] if not alphas else (forth @ alphas[-1][:, :n]) * e
-            c = a.sum(0)
-            a /= c
-            score += np.log(c).sum()
-            e /= c
-            alphas.append(a)
-            emits.append(e)
-        beta = np.ones((k, active[-1]))
-        gammas = [alphas[-1]]
-        for t in range(len(active) - 2, -1, -1):
-            n = active[t + 1]
-            eb = emits[t + 1] * beta
-            found.move += alphas[t][:, :n] @ eb.T
-            b = model.move @ eb
-            if active[t] > n:
-                beta = np.ones((k, active[t]))
-                beta[:, :n] = b
-            else:
-                beta = b
-            gammas.append(alphas[t] * beta)
-        found.begin += gammas[-1].sum(1)
-        symbols = np.concatenate([steps[t, :n] for t, n in enumerate(active)])
-        weights = np.concatenate(gammas[::-1], axis=1)
+    emit, move = np.ascontiguousarray(model.emit.T.astype(kind)), model.move.astype(kind)
+    forth = np.ascontiguousarray(move.T)
+    cut = Cut.of(model, texts, kind, segment, block)
+    for g, rows in cut.grouped(block):
+        now, inner, before = cut.starts(model, g, kind)
+        emits = emit.take(rows.symbols, axis=1)
+        alphas, betas, scale = np.empty_like(emits), np.ones_like(emits), np.empty(len(rows.symbols), kind)
+        for t, n in enumerate(rows.active):
+            if t:
+                now = forth @ alphas[:, rows.at(t - 1, n)]
+            now *= emits[:, rows.at(t)]
+            np.divide(now, np.add.reduce(now, 0, out=scale[rows.at(t)]), out=alphas[:, rows.at(t)])
+        score += float(np.log(scale, dtype=float).sum())
+        emits /= scale
+        for i, j in enumerate(g):
+            if cut.behind[j] is not None:
+                end = rows.offset[rows.lengths[i] - 1] + i
+                betas[:, end] = cut.behind[j] / (alphas[:, end] @ cut.behind[j])
+        moves = np.zeros((k, k))
+        for t in range(rows.steps - 1, 0, -1):
+            n = rows.active[t]
+            e = emits[:, rows.at(t)]
+            e *= betas[:, rows.at(t)]
+            moves += alphas[:, rows.at(t - 1, n)] @ e.T
+            np.matmul(move, e, out=betas[:, rows.at(t - 1, n)])
+        begins = np.ones(len(g), bool)
+        begins[inner] = False
+        moves += before @ (emits[:, inner] * betas[:, inner]).T
+        alphas *= betas
+        found.begin += alphas[:, rows.at(0)][:, begins].sum(1, dtype=float)
+        found.move += moves
         for s in range(k):
-            found.emit[:, s] += np.bincount(symbols, weights[s], m)
+            found.emit[:, s] += np.bincount(rows.symbols, alphas[s], m)
     found.move *= model.move
     return found, score
 

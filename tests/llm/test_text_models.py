@@ -56,6 +56,36 @@ def test_forward_recursion_sums_over_all_paths():
     assert hmm.likelihoods(m, texts).sum() > before
 
 
+def plain_counts(m, text):
+    """Baum-Welch counts of one text, step by step and unscaled."""
+    k, n = len(m.begin), len(text)
+    alpha, beta = np.zeros((n, k)), np.ones((n, k))
+    alpha[0] = m.begin * m.emit[text[0]]
+    for t in range(1, n):
+        alpha[t] = (alpha[t - 1] @ m.move) * m.emit[text[t]]
+    for t in range(n - 2, -1, -1):
+        beta[t] = m.move @ (m.emit[text[t + 1]] * beta[t + 1])
+    total = alpha[-1].sum()
+    gamma, emit = alpha * beta / total, np.zeros_like(m.emit)
+    np.add.at(emit, text, gamma)
+    move = sum((np.outer(alpha[t], m.emit[text[t + 1]] * beta[t + 1]) * m.move / total for t in range(n - 1)), np.zeros((k, k)))
+    return gamma[0], move, emit, math.log(total)
+
+
+@pytest.mark.parametrize(("segment", "block"), [(1, 1), (3, 7), (4, 1000), (7, 20), (4096, 1_000_000)])
+def test_cut_texts_have_the_same_counts(segment, block):
+    r = np.random.default_rng(5)
+    m = hmm.Model(r.dirichlet([1, 1, 1]), r.dirichlet([1, 1, 1], 3), r.dirichlet(np.ones(9), 3).T)
+    texts = [r.integers(0, 9, n) for n in (1, 2, 3, 40, 8, 5, 41, 17, 1, 4, 90)]
+    plain = [plain_counts(m, x) for x in texts]
+    got, score = hmm.expected(m, texts, segment, block, float)
+    assert np.allclose(got.begin, sum(p[0] for p in plain)) and np.allclose(got.move, sum(p[1] for p in plain)) and np.allclose(got.emit, sum(p[2] for p in plain))
+    assert score == pytest.approx(sum(p[3] for p in plain))
+    assert hmm.likelihoods(m, texts, segment, block) == pytest.approx([p[3] for p in plain])
+    single, _ = hmm.expected(m, texts, segment, block)
+    assert np.allclose(single.packed(), got.packed(), rtol=1e-4)
+
+
 def test_scores_are_probabilities(spark):
     """Over all texts of one word, known or not, and the end, the mass is at most one."""
     rows = [(i, t) for i, t in enumerate(["a b", "a c", "b", "d a", "a", "e f g"])]
