@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from tessera.llm.chunks import Pieces, load, symbols
-from tessera.llm.common import held, kept_schema, text_bytes, texted, tune
+from tessera.llm.common import held, kept_schema, text_bytes, texted, tune, without
 
 LEAF = 64
 Entry = tuple[int, str, str] | bool
@@ -152,11 +152,12 @@ def tree_encoder(path: str, leaf: int) -> TreeEncoder:
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, keep: list[str] | None = None, with_ids: bool = False, leaf: int = LEAF) -> DataFrame:
-    """For each row of docs(doc_id, text, ...): the columns of `keep` (doc_id at least), n_tokens, ids_sha256 and
+    """For each row of docs(doc_id, text, ...): the columns of `keep` (doc_id where none are named; none that is made
+    here), n_tokens, ids_sha256 and
     decoded_sha256, and with with_ids the ids themselves. Decoded text is what the file's own decoder gives; where the
     file names none, the library joins the tokens by one space. One pass over the rows, no exchange."""
     tune(docs.sparkSession)
-    keep = keep or ["doc_id"]
+    keep = without(keep, "n_tokens ids_sha256 decoded_sha256 ids")
     schema = kept_schema(docs, keep, ", ".join(["n_tokens long, ids_sha256 string, decoded_sha256 string", *["ids array<int>"] * with_ids]))
 
     def run(batches: Iterator) -> Iterator:

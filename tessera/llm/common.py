@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import os
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -13,6 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.scratch import drop, saved, scratch, shared_dir  # noqa: F401  (for the operators)
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Rows and bytes of text in one Arrow batch: what a Python worker holds at once.
@@ -36,9 +36,12 @@ def held(key: tuple, make: Callable):
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound the Arrow batches and let Python workers import this library from where the driver has it."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Bound the Arrow batches, where the session allows larger ones, and let Python workers import this library from where the driver has it."""
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if _bytes(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     for name, value in _MEMORY.items():
@@ -49,42 +52,15 @@ def tune(spark: SparkSession) -> None:
         sys.path.append(root)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests, one machine), a temporary one."""
-    sc = spark.sparkContext
-    if at := sc.getConf().get("spark.checkpoint.dir"):
-        return at.rstrip("/")
-    if (now := sc._jsc.sc().getCheckpointDir()).isDefined():
-        return now.get().rstrip("/")
-    sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tessera-')}")
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver's JVM ends."""
-    at = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return at
-
-
-def drop(spark: SparkSession, at: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def _bytes(size: str) -> int:
+    """A number of bytes as Spark's settings spell it."""
+    number = "".join(c for c in size if c.isdigit() or c == "-")
+    unit = size.strip().lower().removeprefix(number).removesuffix("b")
+    return int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit] if int(number) >= 0 else 1 << 62
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """The table, written to the shared folder and read again: later plans start there, also after an executor is lost."""
-    spark = df.sparkSession
-    at = scratch(spark, name)
-    df.write.parquet(at)
-    out = spark.read.schema(df.schema).parquet(at)
-    out.scratch_path = at
-    return out
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def utf8(column: str = "text") -> Column:
@@ -103,12 +79,30 @@ def marked(rows: DataFrame, key: Column, keys: DataFrame, most_bits: int = 24) -
     bits = keys.select(bit(F.col("k")).alias("p")).groupBy(F.floor(F.col("p") / 32).alias("__word")).agg(F.bit_or(one).alias("__bits"))
     placed = rows.withColumn("__bit", bit(key)).withColumn("__word", F.floor(F.col("__bit") / 32))
     found = F.coalesce(F.call_function("shiftright", F.col("__bits"), at(F.col("__bit"))) % 2 == 1, F.lit(False))
-    return placed.join(F.broadcast(bits), "__word", "left").select(*[F.col(f"`{c}`") for c in rows.columns], found.alias("__hit"))
+    return placed.join(F.broadcast(bits), "__word", "left").select(*[quoted(c) for c in rows.columns], found.alias("__hit"))
+
+
+def quoted(name: str) -> Column:
+    """A column by its exact name, whatever it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def aside(docs: DataFrame) -> tuple[DataFrame, list[str], list[Column]]:
+    """docs with every column but doc_id and text under a name of its own, so that none can clash with an operator's;
+    the columns there, and the expressions that give them their old names back."""
+    names = {c: c if c in ("doc_id", "text") else f"__c{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[quoted(c).alias(n) for c, n in names.items()]), [*names.values()], [F.col(n).alias(c) for c, n in names.items()]
+
+
+def without(keep: list[str] | None, made: str) -> list[str]:
+    """The columns to keep (doc_id where none are named) but those that the operator makes itself."""
+    own = {c.lower() for c in made.split()}
+    return [c for c in keep or ["doc_id"] if c.lower() not in own]
 
 
 def texted(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns to keep, and the text's bytes where the text isn't among them."""
-    return docs.select(*[F.col(f"`{c}`") for c in keep], *([] if "text" in keep else [utf8().alias("__bytes")]))
+    return docs.select(*[quoted(c) for c in keep], *([] if "text" in keep else [utf8().alias("__bytes")]))
 
 
 def text_bytes(batch, keep: list[str]):
@@ -121,7 +115,7 @@ def text_bytes(batch, keep: list[str]):
 
 def kept_schema(docs: DataFrame, keep: list[str], more: str) -> str:
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    return ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), more])
+    return ", ".join([*(f"{'`' + c.replace('`', '``') + '`'} {kinds[c]}" for c in keep), more])
 
 
 def slot(modulus: int, column: str = "doc_id") -> Column:

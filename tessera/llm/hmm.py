@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import saved, slot, tree_sum, tune, utf8
-from tessera.llm.words import spaced
+from tessera.llm.words import counted, spaced
 
 HEAD, SYMBOLS, BUCKETS, STATES, ROUNDS = 65_536, 4_095, 1_024, 6, 14
 #: Tokens whose weights a recursion holds at once, and the longest stretch of a text that is one row there.
@@ -286,28 +286,6 @@ class Lexicon:
         return out
 
 
-def word_counts(texts: DataFrame, most: int = 400_000) -> DataFrame:
-    """Word and count over texts(text binary): added up in each task as far as memory allows, then by word."""
-
-    def count(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        def out(n: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([*n.keys()], pa.binary()), pa.array([*n.values()], pa.int64())], ["word", "n"])
-
-        n: Counter = Counter()
-        for b in batches:
-            for t in b.column(0):
-                n.update(spaced(t.as_py()))
-                if len(n) > most:
-                    yield out(n)
-                    n = Counter()
-        if n:
-            yield out(n)
-
-    return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
 def _head(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     """The most frequent words, at most `most`: those over a count that so many at most reach, found from a few hundred
     classes of counts, so that no task's own head goes to the driver."""
@@ -333,7 +311,7 @@ def score_texts(
     tune(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(slot(modulus) == held, F.lit(False)).alias("held_out"), utf8().alias("text"))
     train = rows.filter(~F.col("held_out"))
-    counts = saved(word_counts(train.select("text")), "words")
+    counts = saved(counted(train.select("text"), spaced), "words")
     n_words, v_words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n_texts = train.select("doc_id").count()
     n_all, v_all = n_words + n_texts, v_words + (n_texts > 0)

@@ -11,7 +11,8 @@ seeded hash of doc_id, so what is sent and collected is bounded. All documents a
 
 Null and empty texts have zero statistics and are scored as such. Labels other than 0 and 1, and null ones, are left
 out; an id with both labels is left out; repeated label rows count once. Where only one label is there, or none, every
-score is the smoothed mean of the labels. Repeated document rows are scored each.
+score is the smoothed mean of the labels. Repeated document rows are scored
+each; of a labelled id's rows the smallest text is learnt from. A null doc_id is never learnt from.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import kept_schema, text_bytes, texted, tree_sum, tune, utf8
+from tessera.llm.common import kept_schema, text_bytes, texted, tree_sum, tune, utf8, without
 from tessera.llm.features import NAMES, statistics
 
 MOST, WIDTH, GAMMA, PENALTY, SEED = 20_000, 384, 0.02, 1e-2, 5
@@ -81,6 +82,12 @@ def sample_of(labels: DataFrame, label: str, allowed: Column, most: int, seed: i
     return F.broadcast(drawn.select("doc_id", "y", (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(3)) == 0).alias("calibrates")))
 
 
+def one_text(rows: DataFrame, *facts: str) -> DataFrame:
+    """text and facts of rows(doc_id, text, facts...): the smallest text of each id, so an id that repeats without end
+    stays one training row. Repeats are dropped in each task before the exchange."""
+    return rows.groupBy("doc_id", *facts).agg(F.min("text").alias("text")).select("text", *facts)
+
+
 def share(wanted: int, there: int, seed: int) -> Column:
     """A condition on doc_id that about `wanted` of so many rows meet: no sort, and the same rows each time."""
     return F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, wanted / max(1, there)))
@@ -95,7 +102,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str, allowed: Column,
     spark = docs.sparkSession
     tune(spark)
     chosen = sample_of(labels, label, allowed, most, seed)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).join(chosen, "doc_id").select("text", "y", "calibrates")
+    rows = one_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).join(chosen, "doc_id"), "y", "calibrates")
 
     def measured(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -160,10 +167,11 @@ def _folded(step):
 
 
 def score_quality(docs: DataFrame, fit: Fit, threshold: float = 0.3, keep: list[str] | None = None) -> DataFrame:
-    """The columns of `keep` (doc_id at least), score and predicted for every row."""
+    """The columns of `keep` (doc_id where none are named; not score and predicted, which are made here), score and
+    predicted for every row."""
     spark = docs.sparkSession
     tune(spark)
-    keep = keep or ["doc_id"]
+    keep = without(keep, "score predicted")
     sent = spark.sparkContext.broadcast(fit)
 
     def run(batches: Iterator) -> Iterator:

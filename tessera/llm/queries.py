@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm.common import scratch, slot, table
 
@@ -16,6 +17,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def held(condition: Column) -> Column:
+    """held_out; a null doc_id is never held out."""
+    return F.coalesce(condition, F.lit(False)).alias("held_out")
+
+
 def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.records import read_index, write_records
 
@@ -29,7 +35,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     fit = fit_quality(docs, table(spark, sf_dir, "labels"), "quality", slot(5) != 0)
-    return score_quality(docs, fit, 0.3).select("doc_id", (slot(5) == 0).alias("held_out"), "score", "predicted")
+    return score_quality(docs, fit, 0.3).select("doc_id", held(slot(5) == 0), "score", "predicted")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +86,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"), "toxic", slot(4) != 2)
-    return score_toxicity(docs, model, 0.3).select("doc_id", (slot(4) == 2).alias("held_out"), "score", "predicted", "offending")
+    return score_toxicity(docs, model, 0.3).select("doc_id", held(slot(4) == 2), "score", "predicted", "offending")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -12,7 +12,8 @@ seeded hash of doc_id, weighted by how many there are; the driver gets only the
 in one pass without an exchange.
 
 Null and empty texts have no sentences and score 0. Labels other than 0 and 1, null ones and ids with both are left
-out. Without labels of both kinds every score is 0. Repeated rows are scored each.
+out. Without labels of both kinds every score is 0. Repeated rows are scored each; of a labelled
+id's rows the smallest text is learnt from. A null doc_id is never learnt from.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import held, kept_schema, text_bytes, texted, tune, utf8
-from tessera.llm.quality import clean_labels, share
+from tessera.llm.common import held, kept_schema, text_bytes, texted, tune, utf8, without
+from tessera.llm.quality import clean_labels, one_text, share
 from tessera.llm.words import alnum
 
 MOST, KEPT, BITS, LIFT, SEED = 4_000, 4_096, 18, 4.0, 3
@@ -102,7 +103,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str, allowed: Column
         return Model(-np.inf, {})
     drawn = [rows.filter(F.col("y") == y).filter(share(most * (2 - y), there[y], seed)).limit(2 * most * (2 - y)) for y in (0, 1)]
     chosen = drawn[0].unionAll(drawn[1])
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "y").persist()
+    texts = one_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).join(F.broadcast(chosen), "doc_id"), "y").persist()
 
     def frequency(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -199,11 +200,11 @@ class Scorer:
 
 
 def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.3, keep: list[str] | None = None) -> DataFrame:
-    """The columns of `keep` (doc_id at least), score, predicted and offending, the sentences that score one half or
+    """The columns of `keep` (doc_id where none are named; none that is made here), score, predicted and offending, the sentences that score one half or
     more: their byte offsets in the UTF-8 text and scores."""
     spark = docs.sparkSession
     tune(spark)
-    keep = keep or ["doc_id"]
+    keep = without(keep, "score predicted offending")
     sent, name = spark.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator) -> Iterator:

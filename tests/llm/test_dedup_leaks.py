@@ -108,26 +108,27 @@ def brute_leaks(text, items, width=8):
     return len(words), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), len(ids) >= 2
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 200])
-def test_leaks_equal_brute_force(spark, block):
+@pytest.mark.parametrize("most", [decontaminate.MOST_BYTES, 0])
+def test_leaks_equal_brute_force(spark, most):
     long = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
     items = [(1, long), (2, "Short ITEM"), (3, None), (4, ""), (5, "x " * 9), (12, "short item again but longer than eight words are in all"), (2, "Short ITEM")]
     docs = [(1, f"before {long.upper()} after short item"), (2, "short, item! short item"), (3, None), (4, ""), (5, "x " * 30), (6, long[:40]), (7, "y"), (None, f"{long} {long}"), (1, "short item")]
     d = spark.createDataFrame([(a, b, 5) for a, b in docs], "doc_id long, text string, items int")
     b = spark.createDataFrame([(a, t, "z") for a, t in items], "item_id long, text string, words string")
-    got = decontaminate.decontaminate(d, b, block_bytes=block).collect()
+    got = decontaminate.decontaminate(d, b, most=most).collect()
     want = [(i, *brute_leaks(t, items)) for i, t in docs]
-    assert sorted([tuple(r[:6]) if block > 200 else (r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got], key=repr) == sorted(want, key=repr)
-    assert decontaminate.decontaminate(d.limit(0), b, block_bytes=block).count() == 0
+    assert sorted([(r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got], key=repr) == sorted(want, key=repr)
+    assert all(sum(y - x for x, y in r.spans) == r.n_hit and len(r.items) == r.n_items for r in got)
+    assert decontaminate.decontaminate(d.limit(0), b, most=most).count() == 0
     assert not any(r.n_items for r in decontaminate.decontaminate(d, b.limit(0)).collect())
 
 
 @pytest.mark.parametrize("keep", [["doc_id"], ["doc_id", "text"]])
-def test_repeated_rows_stay_with_several_blocks(spark, keep):
+def test_repeated_rows_stay_where_items_are_joined(spark, keep):
     items = [(i, f"item {'abcdefg'[i]} " * 6) for i in range(7)]
     docs = [(1, items[0][1]), (1, items[0][1]), (None, "no id"), (None, "no id"), (2, None), (2, ""), (3, f"{items[1][1]} {items[6][1]}"), (3, f"{items[1][1]} {items[6][1]}")]
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.decontaminate(d, b, keep=keep, block_bytes=40).collect()
+    got = decontaminate.decontaminate(d, b, keep=keep, most=0).collect()
     want = [((i, t)[: len(keep)], *brute_leaks(t, items)) for i, t in docs]
     assert sorted([(tuple(r[k] for k in keep), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got], key=repr) == sorted(want, key=repr)
 

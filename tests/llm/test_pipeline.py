@@ -1,3 +1,6 @@
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tessera.llm.queries import queries
 from tests.llm.test_dedup_leaks import brute_components, brute_leaks
@@ -50,3 +53,16 @@ def test_stages_take_odd_rows(spark, data):
             assert len(got) == len(rows)
         if name == "bpe":
             assert {r.doc_id: r.n_tokens for r in got}[1] == 0
+
+
+@pytest.mark.parametrize("names", [["score", "predicted", "offending", "Items", "__hit", "k", "rep"], ["contaminated", "items", "row", "n_words", "N_HIT", "__row", "__c1", "a.b", "x`y", "__found", "__k", "__place"]])
+def test_stages_keep_columns_of_any_name(spark, data, names):
+    docs = spark.read.parquet(f"{data}/documents.parquet").withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names})
+    plain = spark.read.parquet(f"{data}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, data)
+        got = {r[0]: r for r in out.collect()}
+        assert out.columns == docs.columns and set(got) == {r.doc_id for r in stage(spark, plain, data).collect()}
+        place = out.columns.index(names[0])
+        assert all([*r][place:] == [f"{n}{d}" for n in names] for d, r in got.items()), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, data).count() == docs.count()
