@@ -11,7 +11,8 @@ A shard is a file of records. A record is
 A checksum c is masked as rotate_right(c, 15) + 0xA282EAD8 modulo 2**32, so that a checksum over bytes that hold
 checksums stays useful. Shards are written by Spark's own writer, so its commit protocol decides which task's file
 counts when executors are lost, and any file system that Spark knows will do. Documents stand in ascending doc_id order
-(nulls first, equal ids by text), shard after shard. The index is a Parquet table with a row for each record: shard,
+(nulls first, equal ids by a hash of their text), shard after shard; shards are made so many that each has a bounded
+share of the text, however often an id repeats. The index is a Parquet table with a row for each record: shard,
 offset, length and counts. A reader that wants records in a random order takes them from the index.
 
 Empty and null texts give records with the end id alone; an empty table gives no records; repeated rows give a record
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from tessera.llm.chunks import byte_level_encoder
 from tessera.llm.common import tune, utf8
 
+#: Bytes of text for a shard, whose file a reader holds whole, and index rows of one batch.
+SHARD, ROWS = 256 << 20, 10_000
 _HEAD, _PAYLOAD = struct.Struct("<QI"), struct.Struct("<Bq")
 
 
@@ -65,10 +68,11 @@ def unframe(data: bytes, at: int = 0) -> tuple[int | None, np.ndarray, int]:
 
 def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, shards: int | None = None) -> None:
     """Encode docs(doc_id, text), append end_id to each, write the shards under path + "/shards" and then the index
-    under path + "/index". shards: their number, else the session's number of shuffle partitions."""
+    under path + "/index". shards: their number, else as many as the text needs for SHARD bytes each, and at least the
+    session's number of shuffle partitions."""
     spark = docs.sparkSession
     tune(spark)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), _bytes_of(docs) // SHARD + 1)
 
     def encode(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -81,18 +85,31 @@ def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0,
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
-    ordered = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    # rows that repeat an id are dealt by their texts' hashes too, and equal ones by their place, so no id fills a shard
+    spread = [F.col("doc_id"), F.xxhash64("text"), F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20))]
+    ordered = rows.repartitionByRange(shards, *spread).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     records = ordered.mapInArrow(encode, "record binary").select(F.col("record").cast("string").alias("value"))
     records.write.option("lineSep", "\n").option("compression", "none").text(f"{path}/shards")
     _index(spark, path).write.parquet(f"{path}/index")
 
 
+def _bytes_of(docs: DataFrame) -> int:
+    """About the bytes of docs' texts, by what Spark knows of its files, which are compressed by a factor of 4 at most as
+    a rule. Only of tables that it knows nothing of are the texts' lengths added up."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return 4 * size if size < 1 << 50 else docs.agg(F.coalesce(F.sum(F.octet_length(utf8())), F.lit(0))).first()[0]
+
+
 def _index(spark: SparkSession, path: str) -> DataFrame:
     """Read every shard, check every record; a row for each."""
 
-    def scan(batches: Iterator) -> Iterator:
+    def batch(rows: list[tuple]):
         import pyarrow as pa
 
+        kinds = [pa.string(), *[pa.int64()] * 6]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["shard", "offset", "length", "doc_id", "n_tokens", "shard_start", "ids_crc32"])
+
+    def scan(batches: Iterator) -> Iterator:
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 data, at, start, out = data.as_py(), 0, 0, []
@@ -100,9 +117,11 @@ def _index(spark: SparkSession, path: str) -> DataFrame:
                     doc_id, ids, after = unframe(data, at)
                     out.append((name, at, after - at, doc_id, len(ids), start, zlib.crc32(ids.astype("<u4").tobytes())))
                     at, start = after, start + len(ids)
-                cols = [*zip(*out, strict=True)] if out else [()] * 7
-                kinds = [pa.string(), *[pa.int64()] * 6]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["shard", "offset", "length", "doc_id", "n_tokens", "shard_start", "ids_crc32"])
+                    if len(out) == ROWS:
+                        yield batch(out)
+                        out = []
+                if out:
+                    yield batch(out)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/shards")
     return files.select(F.element_at(F.split("path", "/"), -1).alias("shard"), "content").mapInArrow(scan, "shard string, offset long, length long, doc_id long, n_tokens long, shard_start long, ids_crc32 long")
