@@ -1,9 +1,11 @@
 """BPE encoding and decoding by tree concatenation.
 
-A text is cut between single spaces, where the pre-tokenizer always cuts; each piece is encoded once and cached. Inside
-a piece the library's normalizer and pre-tokenizer give the units that BPE sees. A unit of more than `leaf` symbols is
-long unsplit text: its leaves are encoded in one parallel batch of the library, without the end-of-word mark but for
-the last, and are then joined pairwise up a tree. At a join the tokens next to it, first one on either side, then two,
+A text is cut between single spaces, where the pre-tokenizer always cuts (a vocabulary file with another kind of
+pre-tokenizer has no such cuts, and its texts are one piece each); each piece is encoded once and cached. Inside a piece
+the library's normalizer and pre-tokenizer give the units that BPE sees. A unit of more than `leaf` symbols is unsplit
+text for the tree: its leaves are encoded each by itself, without the end-of-word mark but for the last, and are then
+joined pairwise. Leaves of a unit of THREADED or more go to the library as one batch, which it encodes on as many
+threads as a Spark task has cores (spark.task.cpus); shorter units aren't worth a thread. At a join the tokens next to it, first one on either side, then two,
 four ..., are encoded again as one window, until the window begins with the token it began with on the left and ends
 with the token it ended with on the right. All neighbours in the joined row then stand as BPE itself would leave them,
 so the result is exact: a row of tokens is the encoding of its text if each two neighbours are that of theirs.
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from tessera.llm.chunks import Pieces, load, symbols
 from tessera.llm.common import held, kept_schema, text_bytes, texted, tune, without
 
-LEAF = 64
+LEAF, THREADED = 8, 1_024
 Entry = tuple[int, str, str] | bool
 
 
@@ -41,6 +44,8 @@ class TreeEncoder(Pieces):
         self.names = [self.library.id_to_token(i) or "" for i in range(self.library.get_vocab_size(with_added_tokens=True))]
         self.decimals = [*map(str, range(len(self.names)))]
         self.model = self.library.model
+        self.joins = 0
+        self.spaces = _cuts_at_spaces(self.library)
 
     @cached_property
     def _inner(self):
@@ -66,8 +71,11 @@ class TreeEncoder(Pieces):
     def _parts(self, parts: list[str], last: bool) -> list[list[str]]:
         """Tokens of parts; the last one ends the unit if `last`."""
         inner = parts[:-1] if last else parts
-        out = [e.tokens for e in self._inner.encode_batch(inner, add_special_tokens=False)] if inner else []
-        return [*out, self._outer.encode(parts[-1], add_special_tokens=False).tokens] if last else out
+        if len(inner) >= THREADED:
+            out = [e.tokens for e in self._inner.encode_batch(inner, add_special_tokens=False)]
+        else:
+            out = [[t.value for t in self._inner.model.tokenize(p)] for p in inner]
+        return [*out, [t.value for t in self.model.tokenize(parts[-1])]] if last else out
 
     def _text(self, tokens: list[str], last: bool) -> str:
         joined = "".join(tokens)
@@ -76,6 +84,7 @@ class TreeEncoder(Pieces):
     def _join(self, left: list[str], right: list[str], last: bool) -> list[str]:
         """Tokens of two neighbouring stretches' text. last: the right one ends the unit."""
         size = 1
+        self.joins += 1
         while True:
             a, b = max(0, len(left) - size), min(len(right), size)
             ends = last and b == len(right)
@@ -134,7 +143,7 @@ class TreeEncoder(Pieces):
 
     def encode(self, text: str) -> tuple[int, str, str]:
         """What entry() gives of the text's ids."""
-        parts = self.values(text.split(" "))
+        parts = self.values(text.split(" ") if self.spaces else [text])
         if False in parts:
             parts = [x for x in parts if x]
         if not parts:
@@ -146,8 +155,21 @@ class TreeEncoder(Pieces):
         return self.library.decode(ids, skip_special_tokens=False)
 
 
-def tree_encoder(path: str, leaf: int) -> TreeEncoder:
+def _cuts_at_spaces(library) -> bool:
+    """Whether the file's pre-tokenizer is one that cuts at every space, and its normalizer keeps spaces and what is
+    around them apart."""
+    shape = json.loads(library.to_str())
+    nested = lambda x, name: x.get(name) or [x]
+    cutters = [p for p in nested(shape.get("pre_tokenizer") or {}, "pretokenizers")]
+    spaced = any(p.get("type") in ("BertPreTokenizer", "Whitespace", "WhitespaceSplit") or p.get("type") == "Split" and p.get("behavior") == "Removed" for p in cutters)
+    kinds = {n.get("type") for n in nested(shape.get("normalizer") or {}, "normalizers")}
+    return spaced and kinds <= {None, "NFC", "NFKC", "Lowercase", "Replace", "BertNormalizer"}
+
+
+def tree_encoder(path: str, leaf: int, threads: int = 1) -> TreeEncoder:
     """One for all tasks of a Python worker."""
+    if threads > 1:
+        os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "true", str(threads)
     return held(("tree", path, leaf), lambda: TreeEncoder(path, leaf))
 
 
@@ -160,10 +182,12 @@ def encode_decode(docs: DataFrame, vocabulary: str, keep: list[str] | None = Non
     keep = without(keep, "n_tokens ids_sha256 decoded_sha256 ids")
     schema = kept_schema(docs, keep, ", ".join(["n_tokens long, ids_sha256 string, decoded_sha256 string", *["ids array<int>"] * with_ids]))
 
+    threads = int(docs.sparkSession.sparkContext.getConf().get("spark.task.cpus", "1"))
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encoder = tree_encoder(vocabulary, leaf)
+        encoder = tree_encoder(vocabulary, leaf, threads)
         joins = json.loads(encoder.library.to_str()).get("decoder") is None
         for b in batches:
             out: list[list] = [[], [], [], []]
