@@ -14,7 +14,9 @@ two sets with a similarity of s share one of the first n - ceil(s * n) + 1 shing
 so with the rarest first (counted over what is left) a much edited text, whose first shingles are its own, meets nobody;
 others meet by shingle, under bounds of length and position, and only across components. So a pair of a bucket is in one
 component already, or is tested, or cannot be a link, and none is lost. Components are computed by distributed stars.
-Bands miss a pair at the threshold with probability (1 - s**rows)**bands, 2e-6 at 0.85 and 2e-5 at 0.8.
+Bands miss a pair at the threshold with probability (1 - s**rows)**bands, 2e-6 at 0.85 and 1e-5 at 0.8. The sketch drops
+only pairs so far below the threshold that a true link fails it less than once in 1e7; of bands of four samples few such
+pairs come, so it saves little here, and the full sets decide the rest.
 
 Documents without words are linked with nothing. Rows of one doc_id are one document: any of its sets links it. A null
 doc_id is linked with nothing, its component is null and it is kept. Empty tables give no rows.
@@ -119,10 +121,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
     signed = saved(source.mapInArrow(lambda x: _sign(x, width, bands, rows, bits, seed), "doc_id long, n long, digest binary, keys array<long>, sketch array<long>"), "signed")
     there = signed.filter("n > 0 and doc_id is not null")
-    classes = there.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    # aggregates by a key that may be hot are written before they are joined: Spark can split a join of plain tables
+    classes = saved(there.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     heads = there.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "keys", "sketch")).alias("x")).select(F.col("x.doc_id").alias("rep"), "x.n", "x.keys", "x.sketch")
     dealt = heads.select("rep", "n", "sketch", F.explode("keys").alias("key"))
-    shared = dealt.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+    shared = saved(dealt.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"), "shared")
     members = saved(dealt.join(shared, "key"), "members")
     candidates = saved(members.select(F.col("rep").alias("k")).distinct(), "candidates")
     some = marked(source, F.col("doc_id"), candidates).filter("__hit").drop("__hit")
@@ -135,11 +138,12 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     found = None
     for step, order in enumerate((F.struct(-F.col("company"), F.col("rep")), F.struct(F.col("company"), -F.col("rep")))):
         pick = open_.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("l_rep"), F.col("n").alias("l_n"), F.col("sketch").alias("l_sketch"), F.col("component").alias("l_component"))).alias("x")).select("key", "x.l_rep", "x.l_n", "x.l_sketch", "x.l_component")
-        paired = open_.join(pick, "key").filter("component <> l_component")
+        paired = open_.join(saved(pick, "hubs"), "key").filter("component <> l_component")
         links = saved(links.unionAll(_confirmed(paired, sets, percent, bands * rows, bits)), "links")
         found = components(links)
         known = open_.drop("component").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         mixed = known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
+        mixed = saved(mixed, "mixed")
         # of two or three members, these steps hold each against each
         open_ = saved(known.filter(F.col("members") > step + 2).join(mixed, "key", "left_semi"), "open")
         if open_.isEmpty():
