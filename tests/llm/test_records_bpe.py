@@ -42,6 +42,31 @@ def test_tree_concatenation_equals_the_library(words_path, leaf):
         assert e.decode(ids) == e.library.decode(ids, skip_special_tokens=False)
 
 
+def test_long_units_are_encoded_in_one_batch(words_path):
+    e = bpe.TreeEncoder(words_path)
+    t = "".join(random.Random(7).choice("etaoinshrdlu") for _ in range(3 * bpe.LEAF * bpe.THREADED))
+    assert e.encode(t)[1] == " ".join(map(str, e.library.encode(t, add_special_tokens=False).ids)) and e.joins > bpe.THREADED
+
+
+def test_other_pre_tokenizers_get_whole_texts(words_path, tmp_path):
+    import json
+
+    shape = json.load(open(words_path)) | {"pre_tokenizer": None, "added_tokens": []}
+    (tmp_path / "t.json").write_text(json.dumps(shape))
+    e = bpe.TreeEncoder(str(tmp_path / "t.json"))
+    assert not e.spaces and bpe.TreeEncoder(words_path).spaces
+
+
+def test_an_id_that_repeats_fills_no_shard(spark, bytes_path):
+    at = scratch(spark, "test")
+    docs = spark.range(4000).selectExpr("case when id % 2 = 0 then 7 else id end as doc_id", "'one text of some words' as text")
+    records.write_records(docs, at, bytes_path, shards=8)
+    got = records.read_index(spark, at).groupBy("shard").count().collect()
+    assert len(got) == 8 and max(r["count"] for r in got) < 1000
+    index = records.read_index(spark, at).orderBy("start").select("doc_id").collect()
+    assert [r.doc_id for r in index] == sorted(r.doc_id for r in index) and len(index) == 4000
+
+
 def test_frames_are_checked():
     ids = np.array([1, 2, 70_000], "<u4").tobytes()
     data = records.frame(7, ids, 4) + b"\n" + records.frame(None, b"", 2) + b"\n"
@@ -86,6 +111,8 @@ def test_op3_whole_table(spark, data, words_path):
     digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
     texts = {d.doc_id: d.text or "" for d in spark.read.parquet(f"{data}/documents.parquet").collect()}
     got = queries()["op3_bpe"](spark, data).collect()
+    tree = bpe.TreeEncoder(words_path)
+    assert all(tree.encode(t)[0] >= 0 for t in texts.values()) and tree.joins > 100  # words of the tables reach the tree
     assert len(got) == len(texts)
     for r in got:
         ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids

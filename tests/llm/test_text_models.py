@@ -238,6 +238,120 @@ def test_op5_whole_table(spark, data):
         assert (got[p.page_id].text, got[p.page_id].n_chars) == (want, len(want))
 
 
+def test_site_statistics_decide_where_nothing_is_named(spark, data):
+    """The test pages without their telling elements and names, under one host, with a line that stands on all: the tree
+    takes that line out, which no name or element does, and the same way each time."""
+    line = "This site is run by its readers."
+    rows = [(p.page_id, "http://one.host/x", re.sub(r"</?article>", "", p.html).replace("<footer>", f"<div><i>{line}</i></div><footer>")) for p in spark.read.parquet(f"{data}/pages.parquet").collect()]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract.extract_text(pages).collect()}
+    alone = {i: extract.extract(html.parse(h), "one.host", {}) for i, _, h in rows}
+    changed = [i for i in got if got[i] != alone[i]]
+    assert len(changed) == len(rows) and all(line in alone[i] and line not in got[i] for i in got)
+    assert all(got[i] == "\n".join(x for x in alone[i].split("\n") if x != line) for i in got)
+    again = pages.repartition(7).unionAll(pages.limit(0))
+    assert got == {r.page_id: r.text for r in extract.extract_text(again, 0).collect()}
+
+
+def test_parse_takes_deep_pages_in_linear_time():
+    import time
+
+    begun = time.perf_counter()
+    page = html.parse("<div>" * 40_000 + "x" + "</div>" * 40_000 + "</b>" * 40_000)
+    assert len(page.nodes) == 40_001 and time.perf_counter() - begun < 10
+    assert extract.extract(page, "h", {}) == "x"
+
+
+def test_normal_equations_equal_a_plain_solution(spark):
+    """Features, weights, ridge and isotonic map of a small table, all at once in numpy."""
+    from tessera.llm.features import NAMES, statistics
+
+    r = np.random.default_rng(2)
+    texts = [" ".join(r.choice(["good", "words", "here", "x1", "!!", "A"], r.integers(1, 40))) + ("!" if i % 3 else ".") for i in range(300)]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, quality int")
+    fit = quality.fit_quality(docs, labels, "quality", slot(5) != 0, width=24)
+    picked = {x.doc_id: x.calibrates for x in quality.sample_of(labels, "quality", slot(5) != 0, quality.MOST, quality.SEED).collect()}
+    x = np.array([statistics(texts[i]) for i in picked]).reshape(-1, len(NAMES))
+    y, own = np.array([i % 3 == 0 for i in picked], int), ~np.array([*picked.values()])
+    scale = np.where(x.std(0) < 1e-9, 1.0, x.std(0))
+    assert np.allclose(fit.mean, x.mean(0)) and np.allclose(fit.scale, scale, rtol=1e-6)
+    z = np.cos(np.clip((x - x.mean(0)) / scale, -8, 8) @ fit.weights + fit.shift) * np.sqrt(2 / 24)
+    z = np.concatenate([z, np.ones((len(z), 1))], 1)
+    w = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+    a, b = z[own] * np.sqrt(w[own])[:, None], y[own] * np.sqrt(w[own])
+    ridge = np.linalg.lstsq(np.vstack([a, 0.1 * np.eye(25)]), np.append(b, np.zeros(25)), rcond=None)[0]  # penalty 0.01
+    assert np.allclose(fit.ridge, ridge, atol=1e-6)
+    got = {d.doc_id: d.score for d in quality.score_quality(docs, fit).collect()}
+    raw = z @ ridge
+    order = sorted(range(len(raw)), key=lambda i: raw[i])
+    assert np.all(np.diff([got[[*picked][i]] for i in order]) >= -1e-6)
+
+
+def test_noisy_or_training_follows_the_plain_gradient():
+    """The trained weights are a minimum of the penalised noisy-or likelihood, written out document by document."""
+    r = np.random.default_rng(4)
+    docs = [([[*r.choice(6, 2)] for _ in range(r.integers(0, 4))], int(r.integers(0, 3))) for _ in range(80)]
+    label = np.array([int(any(0 in s for s in d)) for d, _ in docs])
+    feature, sentence, document = [], [], []
+    for d, (bags, _) in enumerate(docs):
+        for s in bags:
+            feature += s
+            sentence += [len(document)] * len(s)
+            document.append(d)
+    as_int = lambda x: np.array(x, np.int64)
+    weight = np.where(label == 1, 2.0, 1.0)
+    bags = toxicity.Bags(as_int(feature), as_int(sentence), as_int(document), np.array([n for _, n in docs], float), label, weight)
+    bias, theta = toxicity.train(bags, 6, rounds=4000, rate=0.02, penalty=0.5)
+
+    def loss(t):
+        total = 0.0
+        for (sentences, bare), y, w in zip(docs, label, weight, strict=True):
+            clean = (1 / (1 + np.exp(bias))) ** bare
+            for s in sentences:
+                clean *= 1 / (1 + np.exp(bias + sum(t[f] for f in s)))
+            total -= w * np.log(max(1 - clean if y else clean, 1e-300))
+        return total / weight.sum() + 0.5 / 20 * float(t @ t)
+
+    here = loss(theta)
+    assert bias == toxicity.FLOOR and theta[0] > max(theta[1:])
+    for i in range(6):
+        for step in (-0.05, 0.05):
+            assert loss(theta + step * np.eye(6)[i]) >= here - 1e-6
+
+
+def plain_label(template, words):
+    """A template as a regular expression over words that end in one space each."""
+    out, last = [], 0
+    literal = lambda t: "".join(f"{re.escape(w.decode())} " for w in license.alnum(t.encode()))
+    for m in re.finditer(r"<<(?:(begin|end)Optional|var;name=\"\w+\";(words|match)=\"([^\"]*)\")>>", template):
+        out.append(literal(template[last : m.start()]))
+        last = m.end()
+        if m[1]:
+            out.append("(?:" if m[1] == "begin" else ")?")
+        elif m[2] == "words":
+            out.append("(?:[^ ]+ ){%s}" % m[3].replace("-", ","))
+        else:
+            out.append("(?:" + "|".join(literal(x) for x in m[3].split("|")) + ")")
+    out.append(literal(template[last:]))
+    return re.search(rf"(?:^|(?<= )){''.join(out)}", "".join(f"{w.decode('utf-8', 'replace')} " for w in words)) is not None
+
+
+def test_op6_labels_and_scores_equal_plain_matching(spark, data):
+    fill = lambda t, by: re.sub(r"<<(?:begin|end)Optional>>", " ", re.sub(r'<<var;name="\w+";match="([^|"]*)[^"]*">>', r" \1 ", re.sub(r'<<var;name="\w+";words="[^"]*">>', f" {by} ", t)))
+    made = [text for t in license.TEMPLATES.values() for whole in [fill(t, "the authors")] for text in (f"Before. {whole} After.", whole.upper(), whole.rpartition(" ")[0][:-3], whole.replace("the", "teh", 1), re.sub(r"\s+", "\n * ", whole))]
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(made)], "doc_id long, text string"))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    seen = set()
+    for r in license.scan_licenses(docs).collect():
+        words = license.alnum(texts[r.doc_id].encode())
+        want = {n for n, t in license.TEMPLATES.items() if plain_label(t, words)}
+        base = set(filter(None, r.base_labels.split(",")))
+        assert set(filter(None, r.labels.split(","))) == base | want and r.score == (1.0 if want else 0.5 if base else 0.0), r.doc_id
+        seen |= want
+    assert seen == set(license.TEMPLATES)
+
+
 def test_parse_survives_anything():
     r = np.random.default_rng(0)
     bits = ["<p>", "</p>", "<div class='ad'>", "</div>", "<b", "<", ">", "&amp", "&#x41;", "<!--", "-->", "<script>", "</script>", "text", '"', "<li>", "<td>", "</b>", "<b>", "<article>", "\x00"]
