@@ -32,11 +32,12 @@ def drop(spark: SparkSession, at: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """The table, written to the shared folder and read again: later plans start there, also after an executor is lost."""
+def saved(df: DataFrame, name: str, **options: object) -> DataFrame:
+    """The table, written to the shared folder and read again: later plans start there, also after an executor is lost.
+    options: of the Parquet writer."""
     spark = df.sparkSession
     at = scratch(spark, name)
-    df.write.parquet(at)
+    df.write.options(**options).parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
     out.scratch_path = at
     return out
