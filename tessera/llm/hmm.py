@@ -5,8 +5,11 @@ task, then by word. The model's symbols are the end, the `symbols` most frequent
 crc32 of every other word picks; inside a class, a word w has (c(w)+1) / (N+V+1), with the class's tokens N and distinct
 words V, so one share is left for words never seen. Latent states emit symbols.
 
-Training: `rounds` rounds of Baum-Welch from a seeded random start, each over all training texts, whose expected counts
-are summed across partitions in a tree. Texts are turned into symbols once and written for the rounds and for scoring.
+Training: `rounds` rounds of Baum-Welch from a seeded random start; expected counts are summed across partitions in a
+tree. The last `whole` rounds take all training texts, those before them one of `shares` shares of all texts in turn (by
+a hash, so a share grows with the input and every text takes part): a share says enough to part the states, which is what
+early rounds do, and the whole then settles them. Texts are turned into symbols once and written, in the order of their
+shares, for the rounds and for scoring.
 Scoring: the scaled forward recursion gives each text's exact log likelihood, to which the words' shares of their
 classes are added. Both recursions take many texts side by side; a long text is cut into stretches that stand side by
 side too, joined exactly by the matrices that carry states across them, so its memory has a bound.
@@ -34,11 +37,11 @@ from pyspark.sql import functions as F
 from tessera.llm.common import saved, slot, tree_sum, tune, utf8
 from tessera.llm.words import counted, spaced
 
-HEAD, SYMBOLS, BUCKETS, STATES, ROUNDS = 65_536, 4_095, 1_024, 6, 14
+HEAD, SYMBOLS, BUCKETS, STATES, ROUNDS, WHOLE, SHARES = 65_536, 4_095, 1_024, 6, 14, 4, 8
 #: Tokens whose weights a recursion holds at once, and the longest stretch of a text that is one row there.
-BLOCK, SEGMENT = 1_000_000, 4_096
+BLOCK, SEGMENT = 1_000_000, 2_048
 #: Texts, or tokens, that are gathered for one call of a recursion.
-TEXTS, TOKENS = 8_192, 1_000_000
+TEXTS, TOKENS = 8_192, 2_000_000
 
 
 @dataclass
@@ -304,7 +307,7 @@ def _head(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
 
 
 def score_texts(
-    docs: DataFrame, modulus: int = 7, held: int = 2, states: int = STATES, rounds: int = ROUNDS, head: int = HEAD, symbols: int = SYMBOLS, buckets: int = BUCKETS, seed: int = 11
+    docs: DataFrame, modulus: int = 7, held: int = 2, states: int = STATES, rounds: int = ROUNDS, head: int = HEAD, symbols: int = SYMBOLS, buckets: int = BUCKETS, seed: int = 11, whole: int = WHOLE, shares: int = SHARES
 ) -> DataFrame:
     """For each row of docs(doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
@@ -322,8 +325,8 @@ def score_texts(
         per_bucket[b] = n, v
     for w, n in top[: lexicon.first - 1]:
         per_bucket[zlib.crc32(w) % buckets] -= n, 1
-    shares = np.concatenate([[n_texts], [n for _, n in top[: lexicon.first - 1]], per_bucket[:, 0]]) + 0.5
-    prior = shares / shares.sum()
+    prior = np.concatenate([[n_texts], [n for _, n in top[: lexicon.first - 1]], per_bucket[:, 0]]) + 0.5
+    prior /= prior.sum()
 
     log_share = np.zeros(lexicon.size)
     log_share[lexicon.first :] = np.log10(per_bucket.sum(1) + 1.0)
@@ -350,9 +353,13 @@ def score_texts(
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], ["doc_id", "held_out", "n_tokens", "known", "logs", "own", "tail", "times", "symbols"])
 
     lexed = rows.mapInArrow(read, "doc_id long, held_out boolean, n_tokens long, known long, logs double, own double, tail array<binary>, times array<int>, symbols binary")
-    lexed = saved(lexed.withColumn("row", F.monotonically_increasing_id()), "symbols")
+    share = F.when(~F.col("held_out"), F.pmod(F.xxhash64("doc_id", "symbols"), F.lit(shares))).cast("int")
+    lexed = lexed.withColumn("row", F.monotonically_increasing_id()).withColumn("share", share).sortWithinPartitions("share")
+    # small row groups in the order of shares: a round over one share reads little else
+    lexed = saved(lexed, "symbols", **{"parquet.block.size": 2 << 20})
     model = started(prior, states, seed)
-    for _ in range(rounds if n_texts else 0):
+    for r in range(rounds if n_texts else 0):
+        own = F.col("share").isNotNull() if r >= rounds - whole else F.col("share") == r % shares
         now = spark.sparkContext.broadcast(model)
 
         def step(batches: Iterator, now=now) -> Iterator[np.ndarray]:
@@ -363,7 +370,7 @@ def score_texts(
             if total is not None:
                 yield total
 
-        if (summed := tree_sum(lexed.filter(~F.col("held_out")).select("symbols"), step)) is not None:
+        if (summed := tree_sum(lexed.filter(own).select("symbols"), step)) is not None:
             model = updated(Model.unpacked(summed, states), prior)
 
     final = spark.sparkContext.broadcast(model)

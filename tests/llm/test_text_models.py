@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import extract, hmm, html, license, quality, toxicity
 from tessera.llm.common import slot
@@ -102,20 +103,24 @@ def test_lm_of_odd_rows(spark, odd_docs, no_docs):
     assert alone.train_tokens == 0 and alone.n_known == 0 and alone.base_score == 0
 
 
-def test_long_texts_take_part_in_every_round(spark):
-    """The model is that of plain Baum-Welch over all training texts, none of them short."""
+@pytest.mark.parametrize(("shares", "whole"), [(1, 14), (2, 4)])
+def test_long_texts_take_part_in_every_round(spark, shares, whole):
+    """The model is that of plain Baum-Welch over all training texts, or their shares, none of them short."""
     r = np.random.default_rng(3)
     texts = [" ".join(r.choice(["ab", "cd", "ef"] if i % 2 else ["gh", "ij", "kl"], 3000)) for i in range(6)]
     assert min(map(len, texts)) > 8192
     docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
-    got = {x.doc_id: x.score for x in hmm.score_texts(docs, modulus=1, held=1, states=2, symbols=8, buckets=2).collect()}
+    got = {x.doc_id: x.score for x in hmm.score_texts(docs, modulus=1, held=1, states=2, symbols=8, buckets=2, shares=shares, whole=whole).collect()}
     counts = Counter(w.encode() for t in texts for w in t.split())
     lexicon = hmm.Lexicon(sorted(counts.items(), key=lambda x: (-x[1], x[0])), 8, 2)
-    shares = np.array([6, *sorted(counts.values(), reverse=True), 0, 0]) + 0.5
+    prior = np.array([6, *sorted(counts.values(), reverse=True), 0, 0]) + 0.5
+    prior /= prior.sum()
     symbols = [lexicon.symbols(t.encode().split()) for t in texts]
-    model = hmm.started(shares / shares.sum(), 2, 11)
-    for _ in range(14):
-        model = hmm.updated(hmm.expected(model, symbols)[0], shares / shares.sum())
+    model = hmm.started(prior, 2, 11)
+    coded = spark.createDataFrame([(i, bytearray(x.astype("<u2").tobytes())) for i, x in enumerate(symbols)], "doc_id long, symbols binary")
+    share = {r.doc_id: r.s for r in coded.select("doc_id", F.pmod(F.xxhash64("doc_id", "symbols"), F.lit(shares)).alias("s")).collect()}
+    for r in range(14):
+        model = hmm.updated(hmm.expected(model, [x for i, x in enumerate(symbols) if r >= 14 - whole or share[i] == r % shares])[0], prior)
     assert [got[i] for i in range(6)] == pytest.approx(hmm.likelihoods(model, symbols) / math.log(10), rel=1e-6)
 
 
