@@ -36,13 +36,32 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-def test_all_worst_regions_hold_every_first(spark):
-    """The greedy choice has no SQL; its first region is the single best, and regions' blocks lose nothing real."""
-    q = __spark_entry__.queries()
-    every = q["image_worst_regions"](spark, DATA).collect()
-    best = {r.image: (r.x, r.y) for r in q["image_worst_region"](spark, DATA).collect()}
-    assert {r.image: (r.x, r.y) for r in every if r.rank == 1} == best
-    assert all(r.real_px > 0 for r in every)
+def test_worst_regions_equal_a_plain_choice(spark):
+    """Pixel by pixel: the worst 16 x 16 block's surroundings, then the worst of those no region touches, until none is left."""
+    q, found = __spark_entry__.queries(), {}
+    real, size = {}, {}
+    for r in q["image_pixel_mask"](spark, DATA).collect():
+        w, h = size.get(r.image, (0, 0))
+        size[r.image] = max(w, r.x + 1), max(h, r.y + 1)
+        if r["class"] == 2:
+            real.setdefault(r.image, []).append((r.x, r.y))
+    for image, pixels in real.items():
+        w, h = size[image]
+        side, gone = min(16, w, h), set()
+        while True:
+            scores = {}
+            for x, y in pixels:
+                if (y // 16, x // 16) not in gone:
+                    scores[y // 16, x // 16] = scores.get((y // 16, x // 16), 0) + 1
+            if not scores:
+                break
+            by, bx = min(b for b, n in scores.items() if n == max(scores.values()))
+            x0, y0 = min(max(bx * 16 + 8 - side // 2, 0), w - side), min(max(by * 16 + 8 - side // 2, 0), h - side)
+            gone |= {(y // 16, x // 16) for y in range(y0, y0 + side) for x in range(x0, x0 + side)}
+            rank = sum(k[0] == image for k in found) + 1
+            found[image, rank] = (x0, y0, sum(x0 <= x < x0 + side and y0 <= y < y0 + side for x, y in pixels))
+    got = {(r.image, r["rank"]): (r.x, r.y, r.real_px) for r in q["image_worst_regions"](spark, DATA).collect()}
+    assert got == found and len(got) > 20
 
 
 def test_every_image_is_magnified(spark):
@@ -52,16 +71,16 @@ def test_every_image_is_magnified(spark):
     pixels = spark_table(spark, larger, "left_pixels").collect()
     assert any(p.image >= 10 for p in pixels)
     want = sorted((p.image, p.y * 2 + dy, p.x * 2 + dx, p.r, p.g, p.b) for p in pixels for dy in (0, 1) for dx in (0, 1))
-    got = __spark_entry__.queries()["image_magnify_whole"](spark, larger).select("image", "y", "x", "r", "g", "b").collect()
+    got = __spark_entry__.queries()["image_magnify"](spark, larger).select("image", "y", "x", "r", "g", "b").collect()
     assert sorted(map(tuple, got)) == want
 
 
 def test_every_line_has_its_next_dash_points(spark):
     q, larger = __spark_entry__.queries(), DATA.replace("sf0.001", "sf0.01")
-    lines = {r.line for r in q["next_dash_point_whole"](spark, larger).select("line").distinct().collect()}
+    lines = {r.line for r in q["next_dash_point"](spark, larger).select("line").distinct().collect()}
     assert lines == {r.line for r in q["path_parts"](spark, larger).select("line").distinct().collect()} and max(lines) >= 20
 
 
 def test_every_map_is_looked_up(spark):
-    got = __spark_entry__.queries()["color_lookup_whole"](spark, DATA).collect()
+    got = __spark_entry__.queries()["color_lookup"](spark, DATA).collect()
     assert {r.map_id for r in got} == set(range(5)) == {r.map_id for r in got if r.color == -900}

@@ -25,7 +25,7 @@ def test_the_rest_works_without_the_optional_subpackage(tmp_path, left):
 def test_coordinates_equal_the_file_readers(spark):
     from tessera.sources.xmap import coordinates
 
-    texts = ["0 0;4000 0;4000 4000;0 0 18;", "1 2 x;3 4\n 1 ; 5 6.5;7 8", ";1 2", " ; 1 2", "1 2 3 4 5 6", "1 2 3 4", "5;6 7", "", " ", "1 2;;;3 4", "99999999999 1;2 3", "1 2 99999999999;2 3", "+1 -2 +3", "1 2 -3;1 2 +-3 4 5;", "1　2 3;4 5 5", "1 2 3;9999999999 1;2 3", None, "12 34 2;" * 100_000, "a b"]
+    texts = ["500 -250;7000 0 1;61 45;500 -250 18;", "1 2 x;3 4\n 1 ; 5 6.5;7 8", ";1 2", " ; 1 2", "1 2 3 4 5 6", "1 2 3 4", "5;6 7", "", " ", "1 2;;;3 4", "99999999999 1;2 3", "1 2 99999999999;2 3", "+1 -2 +3", "1 2 -3;1 2 +-3 4 5;", "1　2 3;4 5 5", "1 2 3;9999999999 1;2 3", None, "12 34 2;" * 100_000, "a b"]
     df = spark.createDataFrame([*enumerate(texts)], "x int, t string")
     for r in T.with_coordinates(df, "t", "found").collect():
         want = r.t if r.t is None else [(round(x * 1000), round(y * 1000), f) for x, y, f in coordinates(r.t)]
