@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import diff
 from tessera.plans.registry import Inputs, query
+from tessera.scratch import saved
 
 # The oracle pairs pixels first and takes plain 3 x 3 neighbourhoods by a self-join of rows and columns.
 _PAIRS = """p as (select coalesce(l.image, r.image) as image, coalesce(l.y, r.y) as y, coalesce(l.x, r.x) as x, l.r as r0, l.g as g0, l.b as b0, r.r as r1, r.g as g1, r.b as b1
@@ -72,18 +73,18 @@ g as (select f.image, least(16, w, h) as size, greatest(0, least(block_x * 16 +
 
 @query(_MASK + ", " + _WORST + " select image, x, y, size from g")
 def image_worst_region(t: Inputs) -> DataFrame:
-    return diff.worst_block(_mask(t), 16).select("image", "x", "y", F.col("size").cast("long").alias("size"))
+    return diff.worst_block(saved(_mask(t), "mask"), 16).select("image", "x", "y", F.col("size").cast("long").alias("size"))
 
 
 @query(_MASK + ", " + _WORST + " select g.image, g.x as sx, g.y as sy, g.size, count(*) as real_px from g join k on k.image = g.image and k.class = 2 and k.x >= g.x and k.x < g.x + g.size and k.y >= g.y and k.y < g.y + g.size group by all")
 def image_region_count(t: Inputs) -> DataFrame:
-    pixels = _mask(t)
+    pixels = saved(_mask(t), "mask")
     return diff.count_in(pixels, diff.worst_block(pixels, 16)).select("image", "sx", "sy", F.col("size").cast("long").alias("size"), "real_px").filter("real_px > 0")
 
 
 @query()
 def image_worst_regions(t: Inputs) -> DataFrame:
-    return diff.worst_regions(_mask(t), 0, 16)
+    return diff.worst_regions(saved(_mask(t), "mask"), 0, 16)
 
 
 @query("""select image, cast(i as bigint) as y, cast(j as bigint) as x, coalesce(r, 32) as r, coalesce(g, 32) as g, coalesce(b, 32) as b from (select distinct image from {sizes}) z
@@ -93,14 +94,8 @@ def image_crop(t: Inputs) -> DataFrame:
     return diff.crop(t.right_pixels, regions, 12).select("image", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), "r", "g", "b")
 
 
-@query("select image, y * 2 + a.i as y, x * 2 + c.j as x, r, g, b from {left_pixels} p cross join (select i from {numbers} where i < 2) a cross join (select i as j from {numbers} where i < 2) c where p.image < 10")
+@query("select image, y * 2 + unnest([0, 0, 1, 1]) as y, x * 2 + unnest([0, 1, 0, 1]) as x, r, g, b from {left_pixels}")
 def image_magnify(t: Inputs) -> DataFrame:
-    return diff.magnify(t.left_pixels.filter("image < 10"), 2)
-
-
-@query()
-def image_magnify_whole(t: Inputs) -> DataFrame:
-    """Of all images, where image_magnify has the few that its SQL asks for."""
     return diff.magnify(t.left_pixels, 2)
 
 
