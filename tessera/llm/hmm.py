@@ -28,7 +28,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -281,13 +281,18 @@ class Lexicon:
         """Places in the head; -1 for words beyond it."""
         return np.fromiter(map(self.rank.get, words, repeat(-1)), np.int32, len(words))
 
-    def symbols(self, words: list[bytes], ranks: np.ndarray | None = None) -> np.ndarray:
-        ranks = self.ranks(words) if ranks is None else ranks
-        out = np.append(self.symbol[ranks], np.int32(0))
-        for i in np.flatnonzero(ranks < 0):
-            out[i] = self.bucket(words[i])
+    def looked_up(self, ranks: np.ndarray, tail: list[bytes], beyond: np.ndarray) -> np.ndarray:
+        """Symbols of words by their places in the head; tail: the words beyond it, at the indices `beyond`."""
+        out = self.symbol[ranks]
+        out[beyond] = self.first + np.fromiter(map(zlib.crc32, tail), np.int64, len(tail)) % self.buckets
         return out
 
+    def symbols(self, words: list[bytes]) -> np.ndarray:
+        """Symbols of a text's words and its end."""
+        ranks = self.ranks(words)
+        beyond = np.flatnonzero(ranks < 0)
+        return np.append(self.looked_up(ranks, [words[i] for i in beyond], beyond), np.int32(0))
+
 
 def _head(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     """The most frequent words, at most `most`: those over a count that so many at most reach, found from a few hundred
@@ -339,17 +344,23 @@ def score_texts(
         lexicon, log_share = sent.value
         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary()]
         for b in batches:
-            out = [[] for _ in kinds]
-            for t in b.column(2):
-                words = spaced(t.as_py())
-                ranks = lexicon.ranks(words)
-                s = lexicon.symbols(words, ranks)
-                known = ranks[ranks >= 0]
-                logs = lexicon.log[known]
-                tail = Counter(words[i] for i in np.flatnonzero(ranks < 0))
-                own = logs[lexicon.symbol[known] >= lexicon.first].sum() - log_share[s].sum()
-                for column, x in zip(out, (len(words) + 1, len(known), logs.sum(), own, [*tail.keys()], [*tail.values()], s.astype(kind).tobytes()), strict=True):
-                    column.append(x)
+            # a batch's words are looked up together; its texts are stretches of them
+            texts = [spaced(t.as_py()) for t in b.column(2)]
+            words = [*chain.from_iterable(texts)]
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+            at = np.concatenate([[0], np.cumsum(sizes)])
+            ranks = lexicon.ranks(words)
+            beyond = np.flatnonzero(ranks < 0)
+            tail = [words[i] for i in beyond]
+            symbols = lexicon.looked_up(ranks, tail, beyond)
+            own = np.where(symbols >= lexicon.first, lexicon.log[ranks], 0.0) - log_share[symbols]
+            own[beyond] = -log_share[symbols[beyond]]
+            ends = np.searchsorted(beyond, at)
+            counted_ = [Counter(tail[x:y]) for x, y in zip(ends, ends[1:], strict=False)]
+            total = lambda x, at=at: np.diff(np.concatenate([[0.0], np.cumsum(x)])[at])
+            cells = np.insert(symbols, at[1:], 0).astype(kind)  # each text ends in the end's symbol, 0
+            bounds = at + np.arange(len(at))
+            out = [sizes + 1, sizes - np.diff(ends), total(lexicon.log[ranks]), total(own), [[*c.keys()] for c in counted_], [[*c.values()] for c in counted_], [cells[x:y].tobytes() for x, y in zip(bounds, bounds[1:], strict=False)]]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], ["doc_id", "held_out", "n_tokens", "known", "logs", "own", "tail", "times", "symbols"])
 
     lexed = rows.mapInArrow(read, "doc_id long, held_out boolean, n_tokens long, known long, logs double, own double, tail array<binary>, times array<int>, symbols binary")
