@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from tessera.llm.chunks import Pieces, load, symbols
 from tessera.llm.common import held, kept_schema, text_bytes, texted, tune, without
 
-LEAF, THREADED = 8, 1_024
+LEAF, THREADED = 12, 1_024
 Entry = tuple[int, str, str] | bool
 
 
