@@ -1,7 +1,8 @@
 """Image comparison as queries over pixel tables (image, y, x, r, g, b).
 
-Both images' pixels go through one exchange by row and one by column: the 3 x 3 neighbourhood is the window over
-neighbours in a row, then over neighbours in a column, and the pairing of pixels groups what already lies together.
+Both images' pixels go through one exchange by row, where they are paired, and one by column: the 3 x 3 neighbourhood is
+the window over neighbours in a row, then over neighbours in a column. A pixel that both images have lies in the shared
+rectangle, so nobody needs to know their sizes.
 """
 
 from __future__ import annotations
@@ -22,38 +23,25 @@ def too_big_for_overview(width: Column, height: Column) -> Column:
     return width.cast("long") * height.cast("long") * 3 > OVERVIEW_BYTES
 
 
-def sizes(left: DataFrame, right: DataFrame) -> DataFrame:
-    """image, the union's w and h, and the shared rectangle's."""
-    both = left.select("image", "y", "x", F.lit(0).alias("side")).unionAll(right.select("image", "y", "x", F.lit(1).alias("side")))
-    w = lambda s: F.max(F.when(F.col("side") == s, F.col("x") + 1))
-    h = lambda s: F.max(F.when(F.col("side") == s, F.col("y") + 1))
-    found = both.groupBy("image").agg(w(0).alias("w0"), w(1).alias("w1"), h(0).alias("h0"), h(1).alias("h1"))
-    return found.select("image", F.greatest("w0", "w1").alias("w"), F.greatest("h0", "h1").alias("h"), F.least("w0", "w1").alias("shared_w"), F.least("h0", "h1").alias("shared_h"))
-
-
 def mask(left: DataFrame, right: DataFrame, tolerance: int = TOLERANCE, keep_antialiasing: bool = False) -> DataFrame:
     """image, y, x, class, distance over the union of two images of each name. A pixel outside the overlap is a real
     difference without a distance. Inside, one beyond the tolerance is antialiasing if both images have an edge there:
     the ranges of the three channels among its neighbours in the shared rectangle add up to more than the tolerance."""
-    cols = lambda df, side: df.select("image", "y", "x", F.lit(side).alias("side"), *[F.col(c).cast("int").alias(c) for c in _CHANNELS])
-    both = cols(left, 0).unionAll(cols(right, 1)).join(sizes(left, right).select("image", "shared_w", "shared_h"), "image")
-    both = both.withColumn("inside", (F.col("x") < F.col("shared_w")) & (F.col("y") < F.col("shared_h")))
+    rows = lambda df, side: df.select("image", "y", "x", *[F.col(c).cast("int").alias(f"{c}{i}") if i == side else F.lit(None).cast("int").alias(f"{c}{i}") for i in (0, 1) for c in _CHANNELS], F.lit(side).alias("side"))
+    # by rows of an image: pairs and neighbours in a row need no exchange but this
+    both = rows(left, 0).unionAll(rows(right, 1)).repartition("image", "y")
+    pixels = both.groupBy("image", "y", "x").agg((F.min("side") < F.max("side")).alias("inside"), *[F.max(f"{c}{i}").alias(f"{c}{i}") for i in (0, 1) for c in _CHANNELS])
+    distance = F.when(F.col("inside"), sum((F.abs(F.col(f"{c}0") - F.col(f"{c}1")) for c in _CHANNELS), F.lit(0)))
     across = Window.partitionBy("image", "y").orderBy("x").rangeBetween(-1, 1)
     down = Window.partitionBy("image", "x").orderBy("y").rangeBetween(-1, 1)
-    for side in (0, 1):
-        for c in _CHANNELS:
-            own = F.when(F.col("inside") & (F.col("side") == side), F.col(c))
-            both = both.withColumn(f"low{side}{c}", F.min(own).over(across)).withColumn(f"high{side}{c}", F.max(own).over(across))
-    for side in (0, 1):
-        for c in _CHANNELS:
-            both = both.withColumn(f"low{side}{c}", F.min(f"low{side}{c}").over(down)).withColumn(f"high{side}{c}", F.max(f"high{side}{c}").over(down))
-    edge = lambda side: sum((F.col(f"high{side}{c}") - F.col(f"low{side}{c}") for c in _CHANNELS), F.lit(0)) > tolerance
-    value = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
-    distance = sum((F.abs(value(0, c) - value(1, c)) for c in _CHANNELS), F.lit(0))
-    paired = both.groupBy("image", "x", "y").agg(F.max("inside").alias("inside"), F.when(F.max("inside"), distance).alias("distance"), F.max(edge(0) & edge(1)).alias("edges"))
+    shared = [(f"{c}{i}", F.when(F.col("inside"), F.col(f"{c}{i}"))) for i in (0, 1) for c in _CHANNELS]
+    pixels = pixels.select("image", "y", "x", "inside", distance.alias("distance"), *[f(own).over(across).alias(f"{n}_{c}") for c, own in shared for n, f in (("low", F.min), ("high", F.max))])
+    span = lambda c: F.max(f"high_{c}").over(down) - F.min(f"low_{c}").over(down)
+    edge = lambda side: sum((span(f"{c}{side}") for c in _CHANNELS), F.lit(0)) > tolerance
+    pixels = pixels.select("image", "y", "x", "inside", "distance", (edge(0) & edge(1)).alias("edges"))
     kind = F.when(~F.col("inside"), REAL).when(~is_wrong(F.col("distance"), tolerance), AGREE)
     kind = kind.when(F.col("edges"), REAL if keep_antialiasing else ANTIALIASING).otherwise(REAL)
-    return paired.select("image", F.col("y").cast("long"), F.col("x").cast("long"), kind.cast("int").alias("class"), F.col("distance").cast("long").alias("distance"))
+    return pixels.select("image", F.col("y").cast("long"), F.col("x").cast("long"), kind.cast("int").alias("class"), F.col("distance").cast("long").alias("distance"))
 
 
 def summary(pixels: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
