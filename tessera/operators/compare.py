@@ -15,6 +15,7 @@ from tessera.functions.font import face
 from tessera.operators.diff import AGREE, ANTIALIASING, BLOCK, OVERVIEW_BYTES, REAL, TOLERANCE
 from tessera.operators.raster import coverage
 from tessera.sources import png
+from tessera.sources.images import decode_as
 
 #: Colours of the report's pictures (agreement, antialiasing, real difference), of what lies beside an
 #: image, and the space between panels.
@@ -218,7 +219,7 @@ def compare_files(references: DataFrame, rendered: DataFrame, options: Options |
                     rows.append((name, "missing", None, None, None, None, None, None, False, []))
                     continue
                 try:
-                    one, two = png.decode(bytes(a)), png.decode(bytes(p))
+                    one, two = decode_as(bytes(a), name), decode_as(bytes(p), name)
                 except ValueError:
                     rows.append((name, "unreadable", None, None, None, None, None, None, False, []))
                     continue

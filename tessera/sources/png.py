@@ -65,7 +65,8 @@ def _unfiltered(data: bytes, at: int, h: int, stride: int, bpp: int) -> tuple[np
 
 def _samples(rows: np.ndarray, w: int, channels: int, depth: int) -> np.ndarray:
     if depth == 16:
-        return rows.reshape(len(rows), -1, 2)[:, : w * channels, 0].reshape(len(rows), w, channels)
+        wide = np.ascontiguousarray(rows).view(">u2")[:, : w * channels].astype(np.uint32)
+        return ((wide + 128) // 257).astype(np.uint8).reshape(len(rows), w, channels)  # rounded, not cut
     if depth < 8:
         bits = np.unpackbits(rows, axis=1).reshape(len(rows), -1, depth)
         values = (bits * (1 << np.arange(depth - 1, -1, -1))).sum(2)[:, : w * channels]
