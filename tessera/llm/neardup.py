@@ -122,13 +122,17 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     signed = saved(source.mapInArrow(lambda x: _sign(x, width, bands, rows, bits, seed), "doc_id long, n long, digest binary, keys array<long>, sketch array<long>"), "signed")
     there = signed.filter("n > 0 and doc_id is not null")
     # aggregates by a key that may be hot are written before they are joined: Spark can split a join of plain tables
-    classes = saved(there.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    heads = there.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "keys", "sketch")).alias("x")).select(F.col("x.doc_id").alias("rep"), "x.n", "x.keys", "x.sketch")
-    dealt = heads.select("rep", "n", "sketch", F.explode("keys").alias("key"))
+    heads = there.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "keys", "sketch")).alias("x"))
+    # h tells the sets of an id with several texts apart
+    heads = saved(heads.select("digest", F.xxhash64("digest").alias("h"), F.col("x.doc_id").alias("rep"), "x.n", "x.keys", "x.sketch"), "heads")
+    classes = heads.select("digest", "rep")
+    # most classes share no band, so sketches stay behind until pairs are known
+    dealt = heads.select("rep", "h", "n", F.explode("keys").alias("key"))
     shared = saved(dealt.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"), "shared")
     members = saved(dealt.join(shared, "key"), "members")
     candidates = saved(members.select(F.col("rep").alias("k")).distinct(), "candidates")
     some = marked(source, F.col("doc_id"), candidates).filter("__hit").drop("__hit")
+    sketches = saved(heads.select("rep", "h", "sketch").join(candidates, F.col("rep") == F.col("k"), "left_semi"), "sketches")
     sets = saved(some.join(candidates, some.doc_id == candidates.k, "left_semi").mapInArrow(lambda x: _sets(x, width), "rep long, set array<long>"), "sets")
     # an id with several texts ties their classes together
     several = there.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x <> y").select("doc_id")
@@ -137,9 +141,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     open_ = saved(members.join(company, "rep").withColumn("component", F.col("rep")), "open")
     found = None
     for step, order in enumerate((F.struct(-F.col("company"), F.col("rep")), F.struct(F.col("company"), -F.col("rep")))):
-        pick = open_.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("l_rep"), F.col("n").alias("l_n"), F.col("sketch").alias("l_sketch"), F.col("component").alias("l_component"))).alias("x")).select("key", "x.l_rep", "x.l_n", "x.l_sketch", "x.l_component")
+        pick = open_.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("l_rep"), F.col("h").alias("l_h"), F.col("n").alias("l_n"), F.col("component").alias("l_component"))).alias("x")).select("key", "x.l_rep", "x.l_h", "x.l_n", "x.l_component")
         paired = open_.join(saved(pick, "hubs"), "key").filter("component <> l_component")
-        links = saved(links.unionAll(_confirmed(paired, sets, percent, bands * rows, bits)), "links")
+        links = saved(links.unionAll(_confirmed(paired, sketches, sets, percent, bands * rows, bits)), "links")
         found = components(links)
         known = open_.drop("component").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         mixed = known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
@@ -178,12 +182,15 @@ def _bands(percent: int, rows: int) -> int:
     return int(np.ceil(np.log(1e-5) / np.log(1 - s**rows)))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, samples: int, bits: int) -> DataFrame:
-    """Links a, b among pairs(rep, n, sketch, l_rep, l_n, l_sketch)."""
+def _confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, samples: int, bits: int) -> DataFrame:
+    """Links a, b among pairs(rep, h, n, l_rep, l_h, l_n)."""
     fits = 100 * F.least("n", "l_n") >= percent * F.greatest("n", "l_n")
+    fitting = pairs.filter(fits).select(F.col("l_rep").alias("a"), F.col("l_h").alias("ah"), F.col("rep").alias("b"), F.col("h").alias("bh")).distinct()
+    drawn = lambda end: sketches.select(F.col("rep").alias(end), F.col("h").alias(f"{end}h"), F.col("sketch").alias(f"{end}_sketch"))
+    both = fitting.join(drawn("a"), ["a", "ah"]).join(drawn("b"), ["b", "bh"])
     # far enough below the threshold that a true link fails it less than once in 1e7
-    likely = estimate(F.col("sketch"), F.col("l_sketch"), samples, bits) >= percent / 100 - 0.3
-    return _verified(pairs.filter(fits & likely).select(F.col("l_rep").alias("a"), F.col("rep").alias("b")).distinct(), sets, percent)
+    likely = estimate(F.col("a_sketch"), F.col("b_sketch"), samples, bits) >= percent / 100 - 0.3
+    return _verified(both.filter(likely).select("a", "b").distinct(), sets, percent)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
