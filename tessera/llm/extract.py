@@ -5,9 +5,19 @@ and role without digits). For each node the tree knows on how many pages it stan
 row of its child labels) and how its content varies (its texts). Presentation importance is the entropy of the rows of
 children over pages; content importance is one less the mean entropy of a text's spread over pages, so a text on every
 page counts 0 and a text of its own on each counts 1. A branch's importance on a page is the mean of its parts' by
-length, blended with its presentation importance. Elements that name themselves as navigation, notices, adverts, forms
-or comments count little, as does all outside an article or main element on pages that have one. Branches of low
-importance are removed, inside an article only those named as noise; what is left is the text.
+length, blended with its presentation importance. Branches of low importance are removed; what is left is the text.
+
+Names and elements are further evidence. What names itself as navigation, a notice, an advert, a form or comments goes,
+as does all outside an article or main element on pages that have one. The tree sets bounds to both:
+
+* Inside an article a branch of low importance goes, such as an unnamed line, if it stands in half of the site's articles
+  or more and most of the site's text at the article's nodes is important. Where that isn't so, articles are near-copies,
+  all or a group of them, and importance can't tell their text from what stands around it. Paragraphs, headings, rows and
+  items go only along with the branch that holds them, and no branch of headings alone goes, since headings and labels
+  are alike in many articles.
+* Where names leave less than a tenth of a host's text, one that holds nine tenths of a page's important text, with an
+  article or a first heading in it, is wrong, such as a form around the whole page. Navigation, footers and asides that
+  are elements are never taken for text.
 
 The tree is made of counts: pages of a host with the same texts count once, and a host's pages need not meet in one
 task. Statistics with up to `most` nodes are sent to the tasks; beyond that they are joined to each page's nodes, and
@@ -28,13 +38,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import saved, tune, utf8
-from tessera.llm.html import Page, parse
+from tessera.llm.html import NOISE_TAGS, Page, parse
 
 MOST = 100_000
-GAMMA, THRESHOLD, LITTLE, FEW = 0.9, 0.35, 0.3, 8
+GAMMA, THRESHOLD, FEW = 0.9, 0.35, 8
+#: Percent of a host's or page's text: names that leave less are doubted.
+LEFT = 10
+#: Elements that go only along with what holds them, inside an article.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARTS = HEADINGS | frozenset("p hgroup pre blockquote li dt dd tr td th tbody thead tfoot caption figcaption legend summary".split())
 _HOST = re.compile(r"^[a-zA-Z][-+.a-zA-Z0-9]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
-Stats = dict[tuple[str, int], tuple[int, float, float]]
+#: By host and node: pages, presentation and content importance, mean length of an article's node, and for the root the
+#: mean percent of text that names leave.
+Stats = dict[tuple[str, int], tuple[int, float, float, float, float]]
+UNKNOWN = (0, 1.0, 1.0, 0.0, 100.0)
 
 
 def host(url: str | None) -> str:
@@ -47,7 +65,8 @@ def _hash(text: str) -> int:
 
 
 def features(page: Page) -> tuple[int, list[tuple[int, int, int]]]:
-    """A hash of the page's texts, and its (node, kind, feature): 0 a node, 1 its presentation, 2 a text of it."""
+    """A hash of the page's texts, and its (node, kind, feature): 0 a node, 1 its presentation, 2 a text of it,
+    3 the percent of the page's text that no name excludes, 4 the length of an article's node."""
     children: dict[int, list[str]] = {}
     for n in page.nodes[1:]:
         row = children.setdefault(page.nodes[n.parent].key, [])
@@ -57,11 +76,20 @@ def features(page: Page) -> tuple[int, list[tuple[int, int, int]]]:
     out = {(k, 0, 0) for k in keys}
     out |= {(k, 1, _hash("\n".join(children.get(k, [])))) for k in keys}
     out |= {(page.nodes[n].key, 2, _hash(t)) for n, t in page.blocks}
-    return _hash("\n".join(t for n, t in page.blocks if not page.nodes[n].noise)), sorted(out)
+    plain = [t for n, t in page.blocks if not page.nodes[n].noise]
+    total, left = sum(len(t) for _, t in page.blocks), sum(map(len, plain))
+    if total:
+        out.add((0, 3, 100 * left // total))
+    lengths: dict[int, int] = {}
+    for n, t in page.blocks:
+        if page.nodes[n].article:
+            lengths[page.nodes[n].key] = lengths.get(page.nodes[n].key, 0) + len(t)
+    out |= {(k, 4, x) for k, x in lengths.items()}
+    return _hash("\n".join(plain if 100 * left >= LEFT * total else [t for _, t in page.blocks])), sorted(out)
 
 
 def site_tree(pages: DataFrame) -> DataFrame:
-    """host, node, pages, presentation, content over pages(host, html)."""
+    """host, node, pages, presentation, content, length, plain over pages(host, html)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -78,53 +106,99 @@ def site_tree(pages: DataFrame) -> DataFrame:
     counts = once.select("host", F.explode("rows").alias("x")).groupBy("host", "x.node", "x.kind", "x.feature").agg(F.count("*").cast("double").alias("n"))
     of = lambda k, c: F.sum(F.when(F.col("kind") == k, c))
     n, spread = F.col("n"), F.col("n") * F.log("n")
-    sums = counts.groupBy("host", "node").agg(of(0, n).alias("m"), of(1, spread).alias("styles"), of(2, n).alias("texts"), of(2, spread).alias("spread"))
+    sums = counts.groupBy("host", "node").agg(of(0, n).alias("m"), of(1, spread).alias("styles"), of(2, n).alias("texts"), of(2, spread).alias("spread"), of(4, n * F.col("feature")).alias("length"), (of(3, n * F.col("feature")) / of(3, n)).alias("plain"))
     m = F.greatest(F.col("m"), F.lit(2.0))
-    return sums.select("host", "node", F.col("m").cast("long").alias("pages"), (1 - F.coalesce(F.col("styles") / F.col("m"), F.lit(0.0)) / F.log(m)).alias("presentation"), F.coalesce(1 - F.col("spread") / F.col("texts") / F.log(m), F.lit(1.0)).alias("content"))
+    return sums.select("host", "node", F.col("m").cast("long").alias("pages"), (1 - F.coalesce(F.col("styles") / F.col("m"), F.lit(0.0)) / F.log(m)).alias("presentation"), F.coalesce(1 - F.col("spread") / F.col("texts") / F.log(m), F.lit(1.0)).alias("content"), F.coalesce(F.col("length") / F.col("m"), F.lit(0.0)).alias("length"), F.coalesce("plain", F.lit(100.0)).alias("plain"))
+
+
+def _noise(page: Page, held: list[float], pages: int, plain: float) -> list[bool]:
+    """For each node whether it is noise by its names or those around it, where the host's tree doesn't overrule them.
+    held is the important text of each node itself."""
+    nodes = page.nodes
+    noise = [n.noise for n in nodes]
+    if pages < FEW or plain >= LEFT:
+        return noise
+    inside, clear, tells = held[:], held[:], [False] * len(nodes)  # clear: not under a further name
+    tag = [n.label.partition(" ")[0] for n in nodes]
+    for i in range(len(nodes) - 1, 0, -1):
+        n = nodes[i]
+        tells[i] = tells[i] or not n.named and (tag[i] == "h1" or n.article and not nodes[n.parent].article)
+        inside[n.parent] += inside[i]
+        clear[n.parent] += 0 if n.named else clear[i]
+        tells[n.parent] = tells[n.parent] or tells[i]
+    least = inside[0] * LEFT / 100
+    seen = clear[0] >= least
+    for i, n in enumerate(nodes[1:], 1):
+        wrong = n.named and not seen and not noise[n.parent] and inside[i] >= inside[0] - least and tells[i] and (tag[i] == "form" or tag[i] not in NOISE_TAGS)
+        if wrong:
+            seen = clear[i] >= least
+        noise[i] = noise[n.parent] or n.named and not wrong
+    return noise
 
 
 def extract(page: Page, site: str, stats: Stats) -> str:
     """The text of the branches that matter."""
     nodes = page.nodes
-    has_article = any(n.article and not n.noise for n in nodes)
-    own: dict[int, list[int]] = {}
-    for i, (n, _) in enumerate(page.blocks):
-        own.setdefault(n, []).append(i)
+    own = [0] * len(nodes)
+    for n, t in page.blocks:
+        own[n] += len(t)
     children: dict[int, list[int]] = {}
     for i, n in enumerate(nodes[1:], 1):
         children.setdefault(n.parent, []).append(i)
-    importance, length = [0.0] * len(nodes), [0] * len(nodes)
+    importance, length, held, dull = [0.0] * len(nodes), [0] * len(nodes), [0.0] * len(nodes), [False] * len(nodes)
+    sizes, texts = [(0.0, 1.0, 0)] * len(nodes), [False] * len(nodes)  # texts: more than headings
     for i in range(len(nodes) - 1, -1, -1):  # children stand behind their parents
-        n = nodes[i]
-        pages, presentation, content = stats.get((site, n.key), (0, 1.0, 1.0))
+        pages, presentation, content, usual, _ = stats.get((site, nodes[i].key), UNKNOWN)
         if pages < FEW:
             presentation = content = 1.0
-        parts = [(content, sum(len(page.blocks[b][1]) for b in own.get(i, [])))] + [(importance[c], length[c]) for c in children.get(i, [])]
+        sizes[i] = (float(own[i]) if pages < FEW else usual, content, pages)
+        below = children.get(i, [])
+        parts = [(content, own[i])] + [(importance[c], length[c]) for c in below]
         length[i] = sum(x for _, x in parts)
         inner = sum(v * x for v, x in parts) / length[i] if length[i] else 0.0
-        share = GAMMA ** len({nodes[c].key for c in children.get(i, [])})
-        value = (1 - share) * presentation + share * inner
-        importance[i] = value
-    def weight(i: int) -> float:
-        n = nodes[i]
-        return LITTLE if n.noise else LITTLE if has_article and not n.article else 1.0
-
-    kept = []
-    for n, text in page.blocks:
-        # a branch inside the article goes only if it is named as noise: near-copies vary as little as boilerplate
-        at, good = n, True
-        while at > 0 and good:
-            own_article = nodes[at].article and not nodes[at].noise
-            alone = not (has_article and not nodes[at].article and nodes[n].article)  # the article's own ancestors stay
-            good = own_article or not alone or importance[at] * weight(at) >= THRESHOLD
-            at = nodes[at].parent
-        if good:
-            kept.append(text)
+        share = GAMMA ** len({nodes[c].key for c in below})
+        importance[i] = (1 - share) * presentation + share * inner
+        held[i] = content * own[i]
+        dull[i] = importance[i] < THRESHOLD and all(dull[c] or not length[c] for c in below)
+        texts[i] = own[i] > 0 and nodes[i].label.partition(" ")[0] not in HEADINGS or any(texts[c] for c in below)
+    root = stats.get((site, nodes[0].key), UNKNOWN)
+    noise = _noise(page, held, root[0], root[-1])
+    has_article = any(n.article and not x for n, x in zip(nodes, noise, strict=True))
+    good = _inside_articles(page, noise, sizes, [d and t for d, t in zip(dull, texts, strict=True)]) if has_article else [True] * len(nodes)
+    if not has_article:
+        for i, n in enumerate(nodes[1:], 1):
+            good[i] = good[n.parent] and not noise[i] and importance[i] >= THRESHOLD
+    kept = [t for n, t in page.blocks if good[n]]
     if not kept:
-        kept = [t for n, t in page.blocks if not nodes[n].noise and (nodes[n].article or not has_article)]
+        kept = [t for n, t in page.blocks if not noise[n] and (nodes[n].article or not has_article)]
     return "\n".join(kept)
 
 
+def _inside_articles(page: Page, noise: list[bool], sizes: list[tuple[float, float, int]], dull: list[bool]) -> list[bool]:
+    """For each node whether its text belongs to an article: text outside of all elements does, noise doesn't. sizes are
+    a node's length, its content importance and its pages; from FEW pages on they are the tree's and count once a page."""
+    nodes = page.nodes
+    top = [-1] * len(nodes)  # the outermost article around a node
+    total, important = [0.0] * len(nodes), [0.0] * len(nodes)
+    counted: set[tuple[int, int]] = set()
+    for i, n in enumerate(nodes):
+        if n.article and not noise[i]:
+            at = top[i] = i if top[n.parent] < 0 else top[n.parent]
+            size, content, pages = sizes[i]
+            if pages >= FEW and (at, n.key) in counted:
+                continue
+            counted.add((at, n.key))
+            total[at] += size
+            important[at] += size * content
+    good = [True] + [x >= 0 for x in top[1:]]
+    for i, n in enumerate(nodes[1:], 1):
+        if good[i] and top[i] != i:
+            # near-copies vary as little as boilerplate: there nothing goes, and nothing that only a group of them has
+            at, part = top[i], n.label.partition(" ")[0] in PARTS
+            good[i] = good[n.parent] and (part or not dull[i] or 2 * important[at] < total[at] or 2 * sizes[i][2] < sizes[at][2])
+    return good
+
+
 def extract_text(pages: DataFrame, most: int = MOST) -> DataFrame:
     """For each row of pages(page_id, url, html): page_id, url, text, n_chars."""
     spark = pages.sparkSession
@@ -134,12 +208,12 @@ def extract_text(pages: DataFrame, most: int = MOST) -> DataFrame:
     tree = saved(site_tree(rows.select(site.alias("host"), "html")), "tree")
     schema = "page_id long, url string, text string, n_chars long"
     if tree.count() <= most:
-        found: Stats = {(r.host, r.node): (r.pages, r.presentation, r.content) for r in tree.collect()}
+        found: Stats = {(r.host, r.node): (r.pages, r.presentation, r.content, r.length, r.plain) for r in tree.collect()}
         sent = spark.sparkContext.broadcast(found)
-        return rows.select("page_id", "url", "html", site.alias("host"), F.lit(None).cast("array<struct<node:long,pages:long,presentation:double,content:double>>").alias("stats")).mapInArrow(lambda b: _extracted(b, sent), schema)
+        return rows.select("page_id", "url", "html", site.alias("host"), F.lit(None).cast("array<struct<node:long,pages:long,presentation:double,content:double,length:double,plain:double>>").alias("stats")).mapInArrow(lambda b: _extracted(b, sent), schema)
     numbered = saved(rows.select("page_id", "url", "html", site.alias("host"), F.monotonically_increasing_id().alias("row")), "pages")
     nodes = numbered.select("row", "host", "html").mapInArrow(_nodes, "row long, host string, node long")
-    stats = nodes.join(tree, ["host", "node"]).groupBy("row").agg(F.collect_list(F.struct("node", "pages", "presentation", "content")).alias("stats"))
+    stats = nodes.join(tree, ["host", "node"]).groupBy("row").agg(F.collect_list(F.struct("node", "pages", "presentation", "content", "length", "plain")).alias("stats"))
     return numbered.join(stats, "row", "left").select("page_id", "url", "html", "host", "stats").mapInArrow(lambda b: _extracted(b, None), schema)
 
 
@@ -161,6 +235,6 @@ def _extracted(batches: Iterator, sent) -> Iterator:
     for b in batches:
         texts = []
         for t, site, own in zip(b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-            stats = sent.value if sent is not None else {(site, x["node"]): (x["pages"], x["presentation"], x["content"]) for x in own or []}
+            stats = sent.value if sent is not None else {(site, x["node"]): (x["pages"], x["presentation"], x["content"], x["length"], x["plain"]) for x in own or []}
             texts.append(extract(parse(t.as_py().decode("utf-8", "replace")), site, stats))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])

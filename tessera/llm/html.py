@@ -36,8 +36,9 @@ class Node:
     label: str
     parent: int
     key: int  # hash of the labels from the root
-    noise: bool
+    noise: bool  # named as noise itself or inside of what is
     article: bool
+    named: bool  # itself named as noise
 
 
 @dataclass
@@ -54,7 +55,7 @@ def _key(parent: int, label: str) -> int:
 def parse(html: str) -> Page:
     """The page's nodes (block elements and those named as noise) and its texts in order. Comments, scripts, styles and
     form controls have no text; a block's white space is one space; br is white space."""
-    nodes = [Node("", -1, 0, False, False)]
+    nodes = [Node("", -1, 0, False, False, False)]
     blocks: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = []  # element, node
     opened: Counter[str] = Counter()  # elements of the stack, so that what isn't there is not looked for
@@ -134,7 +135,7 @@ def parse(html: str) -> Page:
         node = parent
         if tag in BLOCKS or own:
             label = " ".join([tag, *sorted(set(names))])
-            nodes.append(Node(label, parent, _key(up.key, label), up.noise or own, inside))
+            nodes.append(Node(label, parent, _key(up.key, label), up.noise or own, inside, own))
             node = len(nodes) - 1
         stack.append((tag, node))
         opened[tag] += 1

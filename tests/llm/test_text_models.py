@@ -230,6 +230,68 @@ def test_near_copies_keep_their_article(spark):
         assert got == {i: f"Title {i}\nThe same first paragraph.\nThe same second one." for i in range(20)}
 
 
+def extracted(spark, bodies: list[str]) -> list[str]:
+    """The texts of a host's pages, the same whether statistics are sent or joined."""
+    pages = spark.createDataFrame([(i, f"http://h.t/{i}", b) for i, b in enumerate(bodies)], "page_id long, url string, html string")
+    sent, joined = ({r.page_id: r.text for r in extract.extract_text(pages, most).collect()} for most in (extract.MOST, 0))
+    assert sent == joined and len(sent) == len(bodies)
+    return [sent[i] for i in range(len(bodies))]
+
+
+def test_importance_decides_inside_articles(spark):
+    """An unnamed block that stands in every article goes; headings, labels and paragraphs that repeat stay."""
+    page = "<article><h1>Title {0}</h1><p>{1} story of {0}.</p><div><h2>Sources</h2></div><table><tr><th>Book</th><td>Number {0}</td></tr></table><div class=x><h3>Letter</h3><p>Sign up here.</p></div><ul><li>Home</li></ul><blockquote>All said.</blockquote></article>"
+    # one article is far shorter than what stands around it
+    bodies = [page.format(i, "A long and winding" if i else "A") for i in range(20)]
+    want = ["Title {0}\n{1} story of {0}.\nSources\nBook\nNumber {0}\nAll said.".format(i, "A long and winding" if i else "A") for i in range(20)]
+    assert extracted(spark, bodies) == want
+    assert "Sign up here." in extract.extract(html.parse(bodies[3]), "h.t", {})
+    assert all("Sign up here.\nHome" in t for t in extracted(spark, bodies[: extract.FEW - 1]))
+
+
+def test_importance_leaves_near_copies_whole(spark):
+    """Articles that differ in their title, date or list only, in paragraphs or in unnamed blocks."""
+    blocks = ["<article><h1>Title {0}</h1><div>The same first text of all.</div><div class=y>The same second text.</div><div class=z>2020-{0}</div></article>".format(i) for i in range(20)]
+    assert extracted(spark, blocks) == [f"Title {i}\nThe same first text of all.\nThe same second text.\n2020-{i}" for i in range(20)]
+    lists = ["<article><h1>Title</h1><p>The same text.</p><ul>" + "".join(f"<li>Part {i * 10 + j} of many</li>" for j in range(9)) + "</ul><p>The end.</p></article>" for i in range(20)]
+    assert extracted(spark, lists) == ["\n".join(["Title", "The same text.", *(f"Part {i * 10 + j} of many" for j in range(9)), "The end."]) for i in range(20)]
+
+
+def test_importance_leaves_what_few_articles_share(spark):
+    """A group of near-copies on a site of other articles, with a block of its own that holds most of their text."""
+    other = ["<article><h1>Title {0}</h1><p>A long and winding story of {0}, and of much else beside it.</p></article>".format(i) for i in range(30)]
+    group = ["<article><h1>Title {0}</h1><div class=terms>These are the terms that hold for all of these articles.</div></article>".format(i) for i in range(30, 40)]
+    mixed = ["<article><h1>Title {0}</h1><p>As said in {0}.</p><div class=terms>These are the terms that hold for all of these articles.</div></article>".format(i) for i in range(40, 44)]
+    got = extracted(spark, other + group + mixed)
+    assert all("These are the terms" in t for t in got[30:])
+
+
+def test_importance_overrules_names_around_a_whole_site(spark):
+    """A form around each page, or a name on the wrapper, doesn't hide the article; what is noise within them does go, and
+    so do forms, comments and menus that are a page's only text."""
+    article = "<nav>Menu {0}</nav><article><h1>Title {0}</h1><p>Story of {0} and more.</p></article><div class=comments><p>I liked {0}</p></div>"
+    want = [f"Title {i}\nStory of {i} and more." for i in range(20)]
+    for wrapper in ("<form>{}</form>", "<div class='has-sidebar'>{}</div>", "<p>Site</p><form><div class=modal>{}</div></form>"):
+        got = extracted(spark, [wrapper.format(article.format(i)) for i in range(20)])
+        assert got == want, wrapper
+    for noise in ("<form><label>Name {0}</label><p>Field {0}</p></form>", "<div class=comments><h2>Comments</h2><p>I liked {0}</p></div>", "<nav><h1>Menu {0}</h1></nav>", "<aside><article>Side {0}</article></aside>"):
+        assert extracted(spark, [noise.format(i) for i in range(20)]) == [""] * 20, noise
+    # on a site whose names are right, they hold for pages without an article too
+    blog = [article.format(i) for i in range(18)] + ["<div class=comments><h1>All</h1><p>I liked {0}, and much more, at length</p></div>"] * 2
+    assert extracted(spark, blog) == want[:18] + [""] * 2
+
+
+def test_importance_decides_on_given_pages(spark, data):
+    """The test pages as they are, under one host, with an unnamed line in every article: only the tree can take it out,
+    and what is left is the article."""
+    line = "This site is run by its readers."
+    given = [p.html for p in spark.read.parquet(f"{data}/pages.parquet").collect()]
+    lined = [h.replace("</article>", f"<div>{line}</div></article>") for h in given]
+    plain, alone = ([extract.extract(html.parse(h), "h.t", {}) for h in x] for x in (given, lined))
+    assert all(a.endswith(f"\n{line}") and line not in t for a, t in zip(alone, plain, strict=True))
+    assert extracted(spark, lined) == plain
+
+
 def test_op5_whole_table(spark, data):
     from html import unescape
 
