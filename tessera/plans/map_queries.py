@@ -241,8 +241,7 @@ def path_centroid(t: Inputs) -> DataFrame:
 
 @query("with s as (select line, sqrt(power(x - lag(x) over w, 2) + power(y - lag(y) over w, 2)) as d from {points} window w as (partition by line order by i)) select line, cast(round(sum(d) / 100) as bigint) as hundreds from s group by line")
 def path_length(t: Inputs) -> DataFrame:
-    # the fold is in single precision; the oracle's sum is not, so hundreds of native units are compared
-    return _gathered(t).select("line", F.round(O.path_length(F.col("p")).cast("double") / 100).cast("long").alias("hundreds"))
+    return O.path_length(t.points).select("line", F.round(F.col("length") / 100).cast("long").alias("hundreds"))
 
 
 # layouts

@@ -65,3 +65,19 @@ def test_ways_down_chains_and_cycles(spark):
     got = [(r.map_id, r.root, r.seq, tuple(r.path), r.level) for r in maps.part_tree(spark.createDataFrame([*tops, (1, 0)], "map_id int, seq long"), parts).collect()]
     assert sorted(g for g in got if g[1:2] != (0,) or g[0] == 2) == sorted(w for m, s in tops for w in below(m, (s,), ()))
     assert sorted(g[4] for g in got if g[:2] == (1, 0)) == [*range(201)]
+
+
+def test_lengths_of_long_lines_and_of_single_points(spark, tmp_path):
+    """Lines of 50,000, two and one points, and points without a place, against the query's SQL."""
+    import duckdb
+
+    import __spark_entry__
+
+    at = f"{tmp_path}/events.parquet"
+    lines = [(1, 50_000), (2, 2), (3, 1), (4, 3)]
+    duckdb.sql("copy (select row_number() over () as event_id, timestamp '2024-01-01' as ts, line as user_id, 'view' as event_type, case when line = 4 and i = 1 then null else i * 37 % 1000 / 3.0 end as value from (values " + ", ".join(map(str, lines)) + f") v(line, n) cross join range(50000) r(i) where i < n) to '{at}' (format parquet)")
+    connection = duckdb.connect()
+    connection.execute(f"create view events as select * from '{at}'")
+    got = __spark_entry__.queries()["path_length"](spark, str(tmp_path)).select("line", "hundreds").collect()
+    want = connection.execute(f"select line, hundreds from ({__spark_entry__.oracle_sql()['path_length']})").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) == 4
