@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import math as M
 from tessera.operators import maps as O
 from tessera.plans.registry import Inputs, query
+from tessera.scratch import tasks
 
 # colours and predicates
 @query("select map_id, priority, round(cast(1 - (cast(c as float) * (1 - cast(k as float)) + cast(k as float)) as double), 5) as r, round(cast(1 - (cast(m as float) * (1 - cast(k as float)) + cast(k as float)) as double), 5) as g, round(cast(1 - (cast(y as float) * (1 - cast(k as float)) + cast(k as float)) as double), 5) as b from {colors}")
@@ -167,13 +168,15 @@ def scale_factors(t: Inputs) -> DataFrame:
 def _ring():
     c = F.col
     corner = lambda dx, dy: M.point(c("cx") + dx * c("half"), c("cy") + dy * c("half"))
-    return F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1))
+    return corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1)
 
 
 @query("select shape, i, (cx - half <= i * 30 and i * 30 < cx + half and cy - half <= cy + i - 4 and cy + i - 4 < cy + half) as inside from {squares} cross join (select i from {numbers} where i < 30) n")
 def point_in_path(t: Inputs) -> DataFrame:
     at = M.point(F.col("i") * 30, F.col("cy") + F.col("i") - 4)
-    return t.squares.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(29).cast("long")))).select("shape", "i", O.inside_polygon(_ring(), at).alias("inside"))
+    # the squares come from few files, even from one
+    spread = t.squares.repartition(tasks(t.spark, t.part.count() * 30), "shape")
+    return spread.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(29).cast("long")))).select("shape", "i", O.inside_polygon(_ring(), at).alias("inside"))
 
 
 @query("""with s as (select *, kind as mode, cx + half - 1 as px, cy + half - 2 as py from {squares} where kind > 0),
@@ -182,7 +185,7 @@ select shape, mode, case mode when 1 then w and e and n and s when 3 then w or e
 def placement_modes(t: Inputs) -> DataFrame:
     c = F.col
     at = M.point(c("cx") + c("half") - 1, c("cy") + c("half") - 2)
-    tips = F.array(M.point(at["x"] - 2, at["y"]), M.point(at["x"] + 2, at["y"]))
+    tips = M.point(at["x"] - 2, at["y"]), M.point(at["x"] + 2, at["y"])
     return t.squares.filter("kind > 0").select("shape", c("kind").alias("mode"), O.placed_inside(at, F.lit(2.0), _ring(), c("kind")).alias("kept"), O.element_inside(tips, _ring(), c("kind")).alias("element"))
 
 

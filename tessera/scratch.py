@@ -1,4 +1,4 @@
-"""Tables that iterations write between their rounds, in the shared folder that the cluster names."""
+"""Tables that iterations write between their rounds, in the shared folder that the cluster names, and sizes of tasks."""
 
 from __future__ import annotations
 
@@ -8,6 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows that one task takes of a table whose size is known.
+ROWS = 1_000_000
+
+
+def tasks(spark: SparkSession, rows: int) -> int:
+    """Partitions for so many rows: they grow with the table, so a task doesn't, and no core is idle. Spark's own number is
+    fixed, and it joins partitions by their compressed bytes."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; only where that is unset (tests, one machine), a temporary one."""
     sc = spark.sparkContext

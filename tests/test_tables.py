@@ -81,3 +81,25 @@ def test_lengths_of_long_lines_and_of_single_points(spark, tmp_path):
     got = __spark_entry__.queries()["path_length"](spark, str(tmp_path)).select("line", "hundreds").collect()
     want = connection.execute(f"select line, hundreds from ({__spark_entry__.oracle_sql()['path_length']})").fetchall()
     assert sorted(map(tuple, got)) == sorted(want) and len(want) == 4
+
+
+def test_points_in_rings_are_compiled_and_spread(spark):
+    import __spark_entry__
+    from tests.conftest import DATA
+
+    for name in ("point_in_path", "placement_modes"):
+        plan = __spark_entry__.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+        assert not any(f"{f}(" in plan for f in ("aggregate", "zip_with", "transform", "forall", "exists")), name
+    assert __spark_entry__.queries()["point_in_path"](spark, DATA).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_points_in_a_ring_with_a_notch(spark):
+    """Against rays counted edge by edge, beside corners and on edges too."""
+    from tessera.functions import math as M
+
+    ring = [(0, 0), (8, 0), (8, 8), (4, 3), (0, 8)]
+    points = [(x / 2, y / 2) for x in range(-2, 19) for y in range(-2, 19)]
+    want = [sum((ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True)) % 2 == 1 for x, y in points]
+    corners = [M.point(F.lit(x), F.lit(y)) for x, y in ring]
+    df = spark.createDataFrame(points, "x double, y double")
+    assert [r.i for r in df.select(maps.inside_polygon(corners, F.struct("x", "y")).alias("i")).collect()] == want
