@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.scratch import tasks
+
 AGREE, ANTIALIASING, REAL = 0, 1, 2
 TOLERANCE, BLOCK, OVERVIEW_BYTES = 3, 16, 512 * 1024 * 1024
 _CHANNELS = ("r", "g", "b")
@@ -23,19 +25,22 @@ def too_big_for_overview(width: Column, height: Column) -> Column:
     return width.cast("long") * height.cast("long") * 3 > OVERVIEW_BYTES
 
 
-def mask(left: DataFrame, right: DataFrame, tolerance: int = TOLERANCE, keep_antialiasing: bool = False) -> DataFrame:
+def mask(left: DataFrame, right: DataFrame, tolerance: int = TOLERANCE, keep_antialiasing: bool = False, parts: int | None = None) -> DataFrame:
     """image, y, x, class, distance over the union of two images of each name. A pixel outside the overlap is a real
     difference without a distance. Inside, one beyond the tolerance is antialiasing if both images have an edge there:
-    the ranges of the three channels among its neighbours in the shared rectangle add up to more than the tolerance."""
+    the ranges of the three channels among its neighbours in the shared rectangle add up to more than the tolerance. parts: partitions; by the number of pixels
+    if not given, so that a task's share doesn't grow with the tables."""
+    parts = parts or tasks(left.sparkSession, left.count() + right.count())
     rows = lambda df, side: df.select("image", "y", "x", *[F.col(c).cast("int").alias(f"{c}{i}") if i == side else F.lit(None).cast("int").alias(f"{c}{i}") for i in (0, 1) for c in _CHANNELS], F.lit(side).alias("side"))
     # by rows of an image: pairs and neighbours in a row need no exchange but this
-    both = rows(left, 0).unionAll(rows(right, 1)).repartition("image", "y")
+    both = rows(left, 0).unionAll(rows(right, 1)).repartition(parts, "image", "y")
     pixels = both.groupBy("image", "y", "x").agg((F.min("side") < F.max("side")).alias("inside"), *[F.max(f"{c}{i}").alias(f"{c}{i}") for i in (0, 1) for c in _CHANNELS])
     distance = F.when(F.col("inside"), sum((F.abs(F.col(f"{c}0") - F.col(f"{c}1")) for c in _CHANNELS), F.lit(0)))
     across = Window.partitionBy("image", "y").orderBy("x").rangeBetween(-1, 1)
     down = Window.partitionBy("image", "x").orderBy("y").rangeBetween(-1, 1)
     shared = [(f"{c}{i}", F.when(F.col("inside"), F.col(f"{c}{i}"))) for i in (0, 1) for c in _CHANNELS]
     pixels = pixels.select("image", "y", "x", "inside", distance.alias("distance"), *[f(own).over(across).alias(f"{n}_{c}") for c, own in shared for n, f in (("low", F.min), ("high", F.max))])
+    pixels = pixels.repartition(parts, "image", "x")
     span = lambda c: F.max(f"high_{c}").over(down) - F.min(f"low_{c}").over(down)
     edge = lambda side: sum((span(f"{c}{side}") for c in _CHANNELS), F.lit(0)) > tolerance
     pixels = pixels.select("image", "y", "x", "inside", "distance", (edge(0) & edge(1)).alias("edges"))

@@ -21,7 +21,7 @@ _MASK = "with " + _PAIRS
 
 
 def _mask(t: Inputs) -> DataFrame:
-    return diff.mask(t.left_pixels, t.right_pixels)
+    return diff.mask(t.left_pixels, t.right_pixels, parts=t.cells.parts)
 
 
 _SUMMARY = """u as (select image, (max(x) + 1) * (max(y) + 1) as size, count(*) filter (class = 1) as n_aa, count(*) filter (class = 2) as n_real, coalesce(max(distance), 0) as largest,

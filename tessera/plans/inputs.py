@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.scratch import tasks
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
 
 INPUTS = {
@@ -58,16 +60,41 @@ INPUTS = {
 }
 
 
-def spark_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    if name == "numbers":
-        return spark.range(1024).withColumnRenamed("id", "i")
-    if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spark_sql(spark, sf_dir, INPUTS[name])
+#: Inputs that pixels are made of, and what they are dealt out by: a few rows of them would share one task with all the
+#: pixels that they become. The keys are those of the join that follows, so it takes as many partitions.
+DEALT = {"cells": ("image", "cy", "cx"), "sizes": ("image",)}
+#: Pixels of an image's two pictures at most.
+PIXELS = 2 * 34 * 34
+
+
+def spark_table(spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFrame] | None = None) -> DataFrame:
+    """made: inputs that are there already; new ones are added."""
+    made = {} if made is None else made
+    if name not in made:
+        if name == "numbers":
+            made[name] = spark.range(1024).withColumnRenamed("id", "i")
+        elif name in TABLES:
+            made[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        else:
+            df = spark_sql(spark, sf_dir, INPUTS[name], made)
+            if name in DEALT:
+                parts = _pixel_tasks(spark, sf_dir, made)
+                df = df.repartition(parts, *DEALT[name])
+                df.parts = parts
+            made[name] = df
+    return made[name]
+
+
+def _pixel_tasks(spark: SparkSession, sf_dir: str, made: dict[str, DataFrame]) -> int:
+    if "cells" in made:
+        return made["cells"].parts
+    images = spark_sql(spark, sf_dir, "select count(distinct l_suppkey) as n from {lineitem}", made).head()["n"]
+    return tasks(spark, images * PIXELS)
 
 
-def spark_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    return spark.sql(text, **{n: spark_table(spark, sf_dir, n) for n in set(re.findall(r"\{(\w+)\}", text))})
+def spark_sql(spark: SparkSession, sf_dir: str, text: str, made: dict[str, DataFrame] | None = None) -> DataFrame:
+    made = {} if made is None else made
+    return spark.sql(text, **{n: spark_table(spark, sf_dir, n, made) for n in set(re.findall(r"\{(\w+)\}", text))})
 
 
 def oracle_text(text: str) -> str:

@@ -17,13 +17,13 @@ class Inputs:
     """Derived tables of one session and data folder, by attribute; sql() for texts over them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self._dir = spark, sf_dir
+        self.spark, self._dir, self._made = spark, sf_dir, {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        return spark_table(self.spark, self._dir, name)
+        return spark_table(self.spark, self._dir, name, self._made)
 
     def sql(self, text: str) -> DataFrame:
-        return spark_sql(self.spark, self._dir, text)
+        return spark_sql(self.spark, self._dir, text, self._made)
 
 
 def query(oracle: str | None = None):

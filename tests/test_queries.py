@@ -84,3 +84,12 @@ def test_every_line_has_its_next_dash_points(spark):
 def test_every_map_is_looked_up(spark):
     got = __spark_entry__.queries()["color_lookup"](spark, DATA).collect()
     assert {r.map_id for r in got} == set(range(5)) == {r.map_id for r in got if r.color == -900}
+
+
+def test_a_task_takes_no_more_pixels_where_there_are_more_images(spark, monkeypatch):
+    from tessera import scratch
+
+    monkeypatch.setattr(scratch, "ROWS", 20_000, raising=False)
+    q, larger = __spark_entry__.queries(), DATA.replace("sf0.001", "sf0.01")
+    sizes = [len(p) for p in q["image_pixel_mask"](spark, larger).rdd.glom().collect()]
+    assert sum(sizes) > 100_000 and max(sizes) <= 20_000
