@@ -82,11 +82,17 @@ def block_scores(pixels: DataFrame) -> DataFrame:
     return pixels.filter(F.col("class") == REAL).groupBy("image", F.floor(F.col("y") / BLOCK).alias("block_y"), F.floor(F.col("x") / BLOCK).alias("block_x")).agg(F.count("*").alias("score"))
 
 
-def count_in(pixels: DataFrame, squares: DataFrame) -> DataFrame:
-    """Real differences inside squares(image, x, y, size)."""
-    at = squares.select("image", F.col("x").alias("sx"), F.col("y").alias("sy"), "size")
+def count_in(pixels: DataFrame, squares: DataFrame, parts: int | None = None) -> DataFrame:
+    """Real differences inside squares(image, x, y, size, ...). They meet by the blocks that a square touches, so one image
+    may have many of both. parts: partitions; by the number of pixels if not given."""
+    parts = parts or tasks(pixels.sparkSession, pixels.count())
+    own = ["image", "sx", "sy", *[c for c in squares.columns if c not in ("image", "x", "y")]]
+    touched = lambda c: F.explode(F.sequence(F.floor(F.col(c) / BLOCK), F.floor((F.col(c) + F.col("size") - 1) / BLOCK)))
+    at = squares.withColumnsRenamed({"x": "sx", "y": "sy"}).withColumn("block_y", touched("sy")).withColumn("block_x", touched("sx"))
+    blocks = ["image", "block_y", "block_x"]
+    real = pixels.filter(F.col("class") == REAL).select("image", "y", "x", F.floor(F.col("y") / BLOCK).alias("block_y"), F.floor(F.col("x") / BLOCK).alias("block_x"))
     inside = (F.col("x") >= F.col("sx")) & (F.col("x") < F.col("sx") + F.col("size")) & (F.col("y") >= F.col("sy")) & (F.col("y") < F.col("sy") + F.col("size"))
-    return pixels.filter(F.col("class") == REAL).join(at, "image").groupBy("image", "sx", "sy", "size").agg(F.count_if(inside).alias("real_px"))
+    return at.join(real.repartition(parts, *blocks), blocks, "left").groupBy(*own).agg(F.count_if(inside).alias("real_px"))
 
 
 def worst_block(pixels: DataFrame, size: int = 128) -> DataFrame:
@@ -101,8 +107,10 @@ def worst_block(pixels: DataFrame, size: int = 128) -> DataFrame:
 def worst_regions(pixels: DataFrame, count: int = 0, size: int = 128) -> DataFrame:
     """image, rank, x, y, real_px: the worst regions in turn; blocks that a region covers, if only in part, are out of
     the next choice. count 0: until nothing real is left. One group holds one image's 16 x 16 block scores."""
+    parts = tasks(pixels.sparkSession, pixels.count())
     limits = pixels.groupBy("image").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
-    scores = block_scores(pixels).join(limits, "image")
+    # few rows an image, but a call of Python
+    scores = block_scores(pixels).join(limits, "image").repartition(parts, "image")
     kind = dict(pixels.dtypes)["image"]
 
     def pick(key, blocks):
@@ -123,8 +131,7 @@ def worst_regions(pixels: DataFrame, count: int = 0, size: int = 128) -> DataFra
         return pd.DataFrame(out, columns=["image", "rank", "x", "y", "size"])
 
     chosen = scores.groupBy("image").applyInPandas(pick, f"image {kind}, rank int, x long, y long, size long")
-    counted = count_in(pixels, chosen).select("image", F.col("sx").alias("x"), F.col("sy").alias("y"), "real_px")
-    return chosen.join(counted, ["image", "x", "y"]).select("image", "rank", "x", "y", "real_px")
+    return count_in(pixels, chosen, parts).select("image", "rank", F.col("sx").alias("x"), F.col("sy").alias("y"), "real_px")
 
 
 def crop(pixels: DataFrame, regions: DataFrame, size: int) -> DataFrame:

@@ -93,3 +93,21 @@ def test_a_task_takes_no_more_pixels_where_there_are_more_images(spark, monkeypa
     q, larger = __spark_entry__.queries(), DATA.replace("sf0.001", "sf0.01")
     sizes = [len(p) for p in q["image_pixel_mask"](spark, larger).rdd.glom().collect()]
     assert sum(sizes) > 100_000 and max(sizes) <= 20_000
+
+
+def test_regions_meet_pixels_by_blocks(spark):
+    """Squares across blocks, one without differences, and an image lower than a block, against plain counts."""
+    from tessera.operators import diff
+
+    places = [(1, x, y) for x in range(0, 60, 3) for y in range(0, 60, 7)] + [(2, x, 3) for x in range(0, 80, 5)]
+    squares = [(1, 10, 10, 16, 1), (1, 16, 16, 16, 2), (1, 1, 1, 2, 3), (1, 40, 0, 33, 4), (2, 3, 0, 9, 1), (2, 64, 0, 9, 2)]
+    pixels = spark.createDataFrame([(*p, 2) for p in places] + [(1, 11, 11, 1)], "image long, x long, y long, class int")
+    got = diff.count_in(pixels, spark.createDataFrame(squares, "image long, x long, y long, size long, rank int")).collect()
+    want = {(i, x, y, s, k): sum(j == i and x <= a < x + s and y <= b < y + s for j, a, b in places) for i, x, y, s, k in squares}
+    assert {(r.image, r.sx, r.sy, r["size"], r["rank"]): r.real_px for r in got} == want and min(want.values()) == 0
+
+
+def test_regions_are_chosen_in_as_many_tasks_as_pixels_need(spark):
+    plan = __spark_entry__.queries()["image_worst_regions"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("FlatMapGroupsInPandas") :]
+    assert plan.count("FlatMapGroupsInPandas") == 1 and "REPARTITION_BY_NUM" in below[: below.index("Join")]
